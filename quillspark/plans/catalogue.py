@@ -1,0 +1,6 @@
+"""All queries of the library by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
