@@ -7,12 +7,15 @@
    signatures that agree on at least ``matches`` of the coordinates must share one
    of the ``coords - matches + 1`` pairs that are rarest in either (prefix merging),
    so only those are posted, and pairs that no one shares are dropped.
-4. First round: each posting list links its members to its least member.  Pairs
-   that agree on ``matches`` coordinates are confirmed on the full shingle sets.
-   Second round (skip merging): lists whose members already are one component are
-   skipped; in the others, chunks of different components are paired, so that no
-   list is expanded within a component.
-5. Components of the confirmed links.
+4. Lists are merged in rounds.  A list whose members already are one component is
+   skipped (skip merging); in the others a member drawn anew each round is paired
+   with the members of other components.  Pairs that agree on ``matches``
+   coordinates are confirmed on the full shingle sets.
+   The members of lists that still span components after ``rounds`` rounds meet
+   once more by the prefixes of their full sets, rarest shingle first, under the
+   size and position bounds of the threshold; no link is lost, and neither a group
+   of near copies nor one of texts just below the threshold is expanded into pairs.
+5. Components of the confirmed links, after each round.
 
 A pair at the threshold agrees on fewer than ``matches`` coordinates with
 probability below 1e-6 at the defaults (binomial tail); no other pair is lost.
@@ -25,6 +28,8 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,7 +111,46 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, chunk: int = 128) -> DataFrame:
+_TOKEN_SQL = "rep long, h1 long, n long, h long"
+
+
+def _tokens(batches):
+    schema = pa.schema([("rep", pa.int64()), ("h1", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        for i in range(0, len(sets), 64):
+            size = n[i : i + 64]
+            cols = [np.repeat(b.column(k).to_numpy()[i : i + 64], size) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, np.repeat(size, size), np.concatenate(sets[i : i + 64]))], schema=schema)
+
+
+def prefix_postings(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(h, rep, n, place): the prefixes of the members' full sets, without the shingles
+    that only one member has."""
+    tokens = sets.join(members, "rep", "left_semi").mapInArrow(_tokens, _TOKEN_SQL)
+    shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    held = tokens.join(shared, "h").groupBy("rep", "h1", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    # unshared shingles are rarer than all shared ones and fill the first places
+    held = held.withColumn("first", F.col("n") - F.size("hs")).withColumn("room", F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - first as int)")).where("room > 0")
+    held = held.select("rep", "n", "first", F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
+    return held.select(F.col("t.h").alias("h"), "rep", "n", (F.col("first") + F.col("i") + 1).alias("place"))
+
+
+def prefix_pairs(posted: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the threshold by the sizes of
+    their sets and the places of a shared shingle.  posted: postings with component.
+    With a turn, only those with a member drawn for each list."""
+    y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
+    if turn is not None:
+        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb"), F.xxhash64("h", "b", F.lit(turn))).alias("y")).select("h", "y.*")
+    x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+    differ = "ca <> cb" if turn is not None else "ca < cb"
+    bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)"
+    return x.join(y, "h").where(f"{differ} and {bound}").select("a", "b")
+
+
+def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; links are pairs with
     ``100 * intersection >= percent * union``."""
     spark = df.sparkSession
@@ -123,45 +167,52 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     ranked = ranked.where(F.size("keys") > COORDS - prefix).select("rep", F.explode(F.expr(f"slice(keys, 1, {prefix} - {COORDS} + size(keys))")).alias("k"))
     lists = scratch.keep(ranked.select(F.col("k.key").alias("key"), "rep"))
 
-    sigs = reps.select("rep", "n", "sig", "h1")
+    wanted = scratch.keep(lists.select(F.col("rep").alias("doc_id")).distinct())
+    sets = docs.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_full_sets(size), _SETS_SQL)
+    sets = scratch.keep(sets.dropDuplicates(["rep", "h1"]))
+    sigs = scratch.keep(reps.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "n", "sig", "h1"))
+    lists = scratch.keep(lists.join(sigs.groupBy("rep").agg(F.min(F.floor(F.log("n") / math.log(100 / percent))).alias("step")), "rep"))
     agree = F.expr("size(filter(arrays_zip(sa, sb), p -> p.sa = p.sb))")
 
-    def retained(pairs: DataFrame) -> DataFrame:
-        """Candidate pairs (u, v) whose signatures agree and whose sizes allow the threshold."""
+    def confirmed(pairs: DataFrame, matches: int) -> DataFrame:
+        """Links (u, v) among candidate pairs: sizes, then signatures, then full sets."""
         a = sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("h1").alias("ha"))
         b = sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("h1").alias("hb"))
-        return (
-            pairs.distinct().join(a, "u").join(b, "v")
-            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .where(agree >= MATCHES).select("u", "ha", "v", "hb")
-        )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs)
-        wanted = scratch.keep(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
-        sets = docs.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_full_sets(size), _SETS_SQL)
-        sets = scratch.keep(sets.dropDuplicates(["rep", "h1"]))
-        x = sets.select(F.col("rep").alias("u"), F.col("h1").alias("ha"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("rep").alias("v"), F.col("h1").alias("hb"), F.col("shingles").alias("y"))
+        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
+        pairs = pairs.join(a, "u").join(b, "v").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(agree >= matches)
+        pairs = scratch.keep(pairs.select("u", "ha", "v", "hb"))
+        need = scratch.keep(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct())
+        own = sets.join(maybe_broadcast(need, 16), "rep", "left_semi")
+        x = own.select(F.col("rep").alias("u"), F.col("h1").alias("ha"), F.col("shingles").alias("x"))
+        y = own.select(F.col("rep").alias("v"), F.col("h1").alias("hb"), F.col("shingles").alias("y"))
         return scratch.keep(pairs.join(y, ["v", "hb"]).join(x, ["u", "ha"]).select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
 
-    least = lists.groupBy("key").agg(F.min("rep").alias("u"))
-    star = lists.join(least, "key").where("u < rep").select("u", F.col("rep").alias("v"))
-    links = confirmed(retained(star))
-    comps = scratch.keep(components(links, scratch))
-
-    tied = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = tied.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    groups = tied.join(mixed, "key")
-    sizes = groups.groupBy("key", "component").agg(F.count("*").alias("c"))
-    groups = groups.join(sizes, ["key", "component"]).withColumn("part", F.expr(f"pmod(xxhash64(rep), cast(ceil(c / {chunk}) as bigint))"))
-    groups = groups.groupBy("key", "component", "part").agg(F.collect_list("rep").alias("members"))
-    left = groups.select("key", F.col("component").alias("ca"), F.col("members").alias("ma"))
-    right = groups.select("key", F.col("component").alias("cb"), F.col("members").alias("mb"))
-    across = left.join(right, "key").where("ca < cb").select(F.explode("ma").alias("a"), "mb").select("a", F.explode("mb").alias("b"))
-    across = across.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").join(star, ["u", "v"], "left_anti")
-    more = confirmed(retained(across))
-    final = scratch.keep(components(links.unionByName(more), scratch))
+    links = None
+    final = spark.createDataFrame([], "node long, component long")
+
+    def with_component(t: DataFrame) -> DataFrame:
+        return t.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def mixed(t: DataFrame, key: str) -> DataFrame:
+        """The rows of lists that span components."""
+        t = with_component(t)
+        some = t.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(key)
+        return scratch.keep(t.join(some, key))
+
+    def linked(pairs: DataFrame, matches: int):
+        nonlocal links, final
+        found = confirmed(pairs, matches)
+        links = found if links is None else links.unionByName(found)
+        final = scratch.keep(components(links, scratch))
+
+    for turn in range(rounds):
+        groups = mixed(lists, "key")
+        hub = groups.groupBy("key").agg(F.max_by(F.struct("rep", "component", "step"), F.xxhash64("key", "rep", F.lit(turn))).alias("hub"))
+        linked(groups.join(hub, "key").where("component <> hub.component and abs(step - hub.step) <= 1").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")), MATCHES)
+    members = scratch.keep(mixed(lists, "key").select("rep").distinct())
+    posted = scratch.keep(prefix_postings(sets, members, percent))
+    for turn in (*range(rounds), None):
+        linked(prefix_pairs(mixed(posted, "h"), percent, turn), 0)
 
     classed = reps.select("n", "h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(classed, ["n", "h1", "h2"], "left")
