@@ -20,21 +20,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node, which hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.coalesce(F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int")), F.lit(0))).first()[0]
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (u, v).
 
-    Each round is written to the shared folder; the loop ends when a round changes
-    nothing, after a number of rounds logarithmic in the longest path.  No links:
-    no rows.
+    Each round is written to the shared folder; the loop ends when all links are
+    stars, after a number of rounds logarithmic in the longest path.  No links: no rows.
     """
-    edges = scratch.keep(edges.where("u <> v").distinct())
-    mark = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(edges)
-    while before[0]:
+    edges = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    while not _is_settled(edges):
         edges = scratch.keep(_star(_star(edges, True), False))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

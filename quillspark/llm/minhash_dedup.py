@@ -8,8 +8,9 @@
    of the ``coords - matches + 1`` pairs that are rarest in either (prefix merging),
    so only those are posted, and pairs that no one shares are dropped.
 4. Lists are merged in rounds.  A list whose members already are one component is
-   skipped (skip merging); in the others a member drawn anew each round is paired
-   with the members of other components.  Pairs that agree on ``matches``
+   skipped (skip merging); in the others the member that comes first in an order
+   drawn anew each round, which so leads most lists of its group, is paired with
+   the members of other components.  Pairs that agree on ``matches``
    coordinates are confirmed on the full shingle sets.
    The members of lists that still span components after ``rounds`` rounds meet
    once more by the prefixes of their full sets, rarest shingle first, under the
@@ -143,7 +144,7 @@ def prefix_pairs(posted: DataFrame, percent: int, turn: int | None) -> DataFrame
     With a turn, only those with a member drawn for each list."""
     y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
     if turn is not None:
-        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb"), F.xxhash64("h", "b", F.lit(turn))).alias("y")).select("h", "y.*")
+        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb"), F.xxhash64("b", F.lit(turn))).alias("y")).select("h", "y.*")
     x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
     differ = "ca <> cb" if turn is not None else "ca < cb"
     bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)"
@@ -187,7 +188,6 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         y = own.select(F.col("rep").alias("v"), F.col("h1").alias("hb"), F.col("shingles").alias("y"))
         return scratch.keep(pairs.join(y, ["v", "hb"]).join(x, ["u", "ha"]).select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
 
-    links = None
     final = spark.createDataFrame([], "node long, component long")
 
     def with_component(t: DataFrame) -> DataFrame:
@@ -199,20 +199,31 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         some = t.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(key)
         return scratch.keep(t.join(some, key))
 
-    def linked(pairs: DataFrame, matches: int):
-        nonlocal links, final
+    def linked(pairs: DataFrame, matches: int) -> None:
+        """Joins components by the links found, on the graph of components alone."""
+        nonlocal final
         found = confirmed(pairs, matches)
-        links = found if links is None else links.unionByName(found)
-        final = scratch.keep(components(links, scratch))
+        for end in ("u", "v"):
+            found = found.join(final.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        moved = scratch.keep(components(found, scratch))
+        if moved.isEmpty():
+            return
+        old = final.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        final = scratch.keep(old.unionByName(moved.join(final, "node", "left_anti")))
 
     for turn in range(rounds):
         groups = mixed(lists, "key")
-        hub = groups.groupBy("key").agg(F.max_by(F.struct("rep", "component", "step"), F.xxhash64("key", "rep", F.lit(turn))).alias("hub"))
+        if groups.isEmpty():
+            break
+        hub = groups.groupBy("key").agg(F.max_by(F.struct("rep", "component", "step"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
         linked(groups.join(hub, "key").where("component <> hub.component and abs(step - hub.step) <= 1").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")), MATCHES)
     members = scratch.keep(mixed(lists, "key").select("rep").distinct())
     posted = scratch.keep(prefix_postings(sets, members, percent))
     for turn in (*range(rounds), None):
-        linked(prefix_pairs(mixed(posted, "h"), percent, turn), 0)
+        groups = mixed(posted, "h")
+        if groups.isEmpty():
+            break
+        linked(prefix_pairs(groups, percent, turn), 0)
 
     classed = reps.select("n", "h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(classed, ["n", "h1", "h2"], "left")
