@@ -82,7 +82,12 @@ class Pieces:
     def _piece(self, piece: str) -> list[int]:
         if piece in self.added:
             return [self.added[piece]]
-        return [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._bytes))]
+        return self._word(piece)
+
+    def _word(self, piece: str) -> list[int]:
+        """Ids of one pre-token; ASCII letters stand for their own bytes."""
+        coded = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self._bytes)
+        return [t.id for t in self._model.tokenize(coded)]
 
     def ids(self, text: str) -> list[int]:
         """The text's ids by its pre-tokens."""
@@ -91,18 +96,20 @@ class Pieces:
 
     def group_ids(self, group: str) -> list[int] | None:
         """Ids of a group behind its space; None if white space joins it to a neighbour."""
+        if group.isalpha():  # one pre-token
+            return self._word(group if self.clip else " " + group)
         if self.clip:
-            return [i for part in self.find(self._normal(group)) for i in self._own[part]]
+            return [i for part in self.find(group) for i in self._own[part]]
         if not group or group[0].isspace() or group[-1].isspace():
             return None
         return [i for part in self.find(" " + group) for i in self._own[part]]
 
     def groups(self, text: str) -> list[str] | None:
-        """Groups of a text (the first of them without a space before it, unless white
-        space is dropped), or None where only ``ids`` will do."""
+        """Groups of the normalised text (the first of them without a space before it, unless
+        white space is dropped), or None where only ``ids`` will do."""
         if not self.is_plain(text) or any(t in text for t in self.added):
             return None
-        return text.split() if self.clip else text.split(" ")
+        return self._normal(text).split() if self.clip else text.split(" ")
 
     def _normal(self, text: str) -> str:
         return unicodedata.normalize("NFC", text).lower() if self.clip else text

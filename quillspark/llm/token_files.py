@@ -15,6 +15,7 @@ tables give empty files.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 
 import numpy as np
@@ -63,7 +64,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Kept:
     p = pieces(path)
-    return Kept(lambda group: np.array(p.group_ids(group), "<u4").tobytes())
+
+    def packed(group: str) -> bytes:
+        ids = p.group_ids(group)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return Kept(packed)
 
 
 def _encode(path: str, end: int):
