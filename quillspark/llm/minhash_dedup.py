@@ -72,21 +72,50 @@ def _signatures(size: int):
     return run
 
 
-_SETS_SQL = "rep long, h1 long, shingles binary"
+#: Longs of a set's bitmap: bit ``h % (64 * BIT_WORDS)`` is set for every shingle hash h.
+BIT_WORDS = 16
+_SETS_SQL = "rep long, h1 long, bits array<long>, shingles binary"
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    out = np.zeros(BIT_WORDS * 64, np.uint8)
+    out[(s % np.uint64(BIT_WORDS * 64)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+def _sketched(t: DataFrame) -> DataFrame:
+    """The bitmap as one column a word, and ``slack``: shingles beyond one a filled bucket."""
+    words = t.withColumns({f"w{i}": F.get("bits", F.lit(i)) for i in range(BIT_WORDS)})
+    return words.withColumn("slack", F.expr("n - (" + " + ".join(f"bit_count(w{i})" for i in range(BIT_WORDS)) + ")")).drop("bits")
+
+
+_SKETCH = (*(f"w{i}" for i in range(BIT_WORDS)), "slack")
+
+
+def _side(k: str) -> list:
+    return [F.col(c).alias(c + k) for c in _SKETCH]
+
+
+def reachable(percent: int) -> str:
+    """SQL condition that two sets (sides a and b) can reach the threshold: a bucket filled in
+    one alone holds a shingle that the other lacks."""
+    both = " + ".join(f"bit_count(w{i}a & w{i}b)" for i in range(BIT_WORDS))
+    return f"(100 + {percent}) * (least(slacka, slackb) + {both}) >= {percent} * (na + nb)"
 
 
 def _full_sets(size: int):
-    schema = pa.schema([("rep", pa.int64()), ("h1", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("h1", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def run(batches):
         words = WordHashes()
         for b in batches:
-            h1, sets = [], []
+            h1, bits, sets = [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingles(words.of(space_words(raw)), size)
                 h1.append(int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)))
+                bits.append(bitmap(s))
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
@@ -127,27 +156,29 @@ def _tokens(batches):
 
 
 def prefix_postings(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(h, rep, n, place): the prefixes of the members' full sets, without the shingles
+    """(h, rep, n, place, sketch): the prefixes of the members' full sets, without the shingles
     that only one member has."""
-    tokens = sets.join(members, "rep", "left_semi").mapInArrow(_tokens, _TOKEN_SQL)
+    own = sets.join(members, "rep", "left_semi")
+    tokens = own.select("rep", "h1", "shingles").mapInArrow(_tokens, _TOKEN_SQL)
     shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     held = tokens.join(shared, "h").groupBy("rep", "h1", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs"))
     # unshared shingles are rarer than all shared ones and fill the first places
     held = held.withColumn("first", F.col("n") - F.size("hs")).withColumn("room", F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - first as int)")).where("room > 0")
-    held = held.select("rep", "n", "first", F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
-    return held.select(F.col("t.h").alias("h"), "rep", "n", (F.col("first") + F.col("i") + 1).alias("place"))
+    held = held.join(own.select("rep", "h1", "bits"), ["rep", "h1"])
+    held = _sketched(held).select("rep", "n", "first", *_SKETCH, F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
+    return held.select(F.col("t.h").alias("h"), "rep", "n", (F.col("first") + F.col("i") + 1).alias("place"), *_SKETCH)
 
 
 def prefix_pairs(posted: DataFrame, percent: int, turn: int | None) -> DataFrame:
     """Pairs (a, b) of different components that can reach the threshold by the sizes of
     their sets and the places of a shared shingle.  posted: postings with component.
     With a turn, only those with a member drawn for each list."""
-    y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"))
+    y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"), *_side("b"))
     if turn is not None:
-        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb"), F.xxhash64("b", F.lit(turn))).alias("y")).select("h", "y.*")
-    x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb", *(c + "b" for c in _SKETCH)), F.xxhash64("b", F.lit(turn))).alias("y")).select("h", "y.*")
+    x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"), *_side("a"))
     differ = "ca <> cb" if turn is not None else "ca < cb"
-    bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)"
+    bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb) and {reachable(percent)}"
     return x.join(y, "h").where(f"{differ} and {bound}").select("a", "b")
 
 
@@ -171,16 +202,16 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     wanted = scratch.keep(lists.select(F.col("rep").alias("doc_id")).distinct())
     sets = docs.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_full_sets(size), _SETS_SQL)
     sets = scratch.keep(sets.dropDuplicates(["rep", "h1"]))
-    sigs = scratch.keep(reps.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "n", "sig", "h1"))
+    sigs = scratch.keep(reps.select("rep", "n", "sig", "h1").join(sets.select("rep", "h1", "bits"), ["rep", "h1"]).transform(_sketched))
     lists = scratch.keep(lists.join(sigs.groupBy("rep").agg(F.min(F.floor(F.log("n") / math.log(100 / percent))).alias("step")), "rep"))
     agree = F.expr("size(filter(arrays_zip(sa, sb), p -> p.sa = p.sb))")
 
     def confirmed(pairs: DataFrame, matches: int) -> DataFrame:
         """Links (u, v) among candidate pairs: sizes, then signatures, then full sets."""
-        a = sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("h1").alias("ha"))
-        b = sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("h1").alias("hb"))
+        a = sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("h1").alias("ha"), *_side("a"))
+        b = sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("h1").alias("hb"), *_side("b"))
         pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
-        pairs = pairs.join(a, "u").join(b, "v").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(agree >= matches)
+        pairs = pairs.join(a, "u").join(b, "v").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {reachable(percent)}").where(agree >= matches)
         pairs = scratch.keep(pairs.select("u", "ha", "v", "hb"))
         need = scratch.keep(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct())
         own = sets.join(maybe_broadcast(need, 16), "rep", "left_semi")
