@@ -113,6 +113,10 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: kept out of merged projections, so that one cleaner's text can be another's input
+_nfkc = _nfkc.asNondeterministic()
+
+
 def nfkc(c) -> Column:
     """NFKC; rows of ASCII alone are passed by."""
     c = col(c)
@@ -237,12 +241,12 @@ def joined_soft_wraps(c) -> Column:
 
 def joined_hard_wraps(c) -> Column:
     """Lines joined by a space unless one ends with punctuation or the next is a bullet;
-    a blank line inside leaves two spaces."""
+    every blank line inside leaves one space more."""
     end = fixed.WRAP_END.removesuffix("$")
     bullet = fixed.WRAP_BULLET.removeprefix("^")
     c = replaced(c, [(r"[ \t]+(?=\n)|[ \t]+\z", ""), (r"\A\n+", "")])
-    c = replaced(c, [(rf"(?<!{end})(?<!\n)\n(?=\n*)(?!\n*{bullet})(?!\n*\z)(?:(\n)\n*)?[ \t]*", " $1")])
-    return replaced(c, [(r" \n", "  "), (r"\n{2,}", "\n"), (r"\n+\z", "")])
+    join = rf"\n(?<=[^\n]\n{{1,200}})(?<!{end}\n{{1,200}})(?!\n*{bullet})(?!\n*\z)[ \t]*"
+    return replaced(c, [(join, " "), (r"\n{2,}", "\n"), (r"\n+\z", "")])
 
 
 def joined_broken_lines(c) -> Column:

@@ -31,8 +31,8 @@ def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt", recursi
     encoding; label is the folder's name."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     df = _named((r.option("recursiveFileLookup", "true") if recursive else r).load(folder).select("content", "_metadata"))
-    root = F.lit("/" + folder.split("://", 1)[-1].strip("/").removeprefix("/") + "/")
-    rel = F.when(F.contains("path", root), F.substring_index("path", root, -1)).otherwise(F.col("file_name"))
+    root = "/" + folder.split("://", 1)[-1].strip("/") + "/"
+    rel = F.when(F.contains("path", F.lit(root)), F.substring_index("path", root, -1)).otherwise(F.col("file_name"))
     df = df.withColumn("d", text.decoder(encodings)("content")).withColumn("rel_path", rel).withColumn("label", text.extract("path", "/([^/]+)/[^/]+$", 1))
     return df.select("doc_id", "file_name", "path", "rel_path", "label", F.col("d.text").alias("text"), F.col("d.encoding").alias("encoding"))
 
