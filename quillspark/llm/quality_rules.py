@@ -22,6 +22,14 @@ from .common import Scratch
 RULES = ("base_failed", "symbol_heavy", "line_repeats", "odd_words")
 _SPACE = "[ \\\\t-\\\\r]"
 
+#: Words in windows found twice: windows by hash, those with an equal neighbour in that order
+#: by place, each adding the words it covers before the next.  ``transform(array(x), y -> ..)[0]``
+#: binds x once, so that the expression stays linear wherever a filter is pushed to.
+_WINDOWS = "transform(if(size(w) < 3, cast(array() as array<int>), sequence(0, size(w) - 3)), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i))"
+_TWICE = "sort_array(transform(filter(s, (x, i) -> coalesce(get(s, i - 1).h = x.h, false) or coalesce(get(s, i + 1).h = x.h, false)), x -> x.i))"
+_COVERED = "aggregate(transform(p, (v, i) -> least(3, coalesce(get(p, i + 1) - v, 3))), 0L, (a, x) -> a + x)"
+_REPEATS = f"transform(array(__q_w), w -> transform(array(sort_array({_WINDOWS})), s -> transform(array({_TWICE}), p -> {_COVERED})[0])[0])[0]"
+
 
 def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules."""
@@ -29,11 +37,7 @@ def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
     t = t.withColumn("__q_w", F.expr(f"filter(split(__q_t, '{_SPACE}+'), x -> x <> '')"))
     t = t.withColumn("__q_l", F.expr(f"filter(split(__q_t, '\\n'), x -> x rlike '[^ \\\\t-\\\\r]')"))
     t = t.withColumn("n_words", F.size("__q_w").cast("long"))
-    t = t.withColumn("__q_g", F.expr("if(n_words < 3, cast(array() as array<struct<h:bigint,i:int>>), transform(sequence(0, cast(n_words as int) - 3), i -> struct(xxhash64(__q_w[i], __q_w[i + 1], __q_w[i + 2]) as h, i as i)))"))
-    t = t.withColumn("__q_s", F.sort_array("__q_g"))
-    # windows whose hash has an equal neighbour in the order, by place in the text
-    t = t.withColumn("__q_p", F.expr("sort_array(transform(filter(__q_s, (x, i) -> coalesce(get(__q_s, i - 1).h = x.h, false) or coalesce(get(__q_s, i + 1).h = x.h, false)), x -> x.i))"))
-    t = t.withColumn("n_repeat_words", F.expr("aggregate(transform(__q_p, (p, i) -> least(3, coalesce(get(__q_p, i + 1) - p, 3))), 0L, (a, x) -> a + x)"))
+    t = t.withColumn("n_repeat_words", F.expr(_REPEATS))
     t = t.withColumn("word_chars", F.length(F.array_join("__q_w", "")).cast("long"))
     t = t.withColumn("n_symbols", (F.length("__q_t") - F.length(F.regexp_replace("__q_t", "[#*$%&|<>]", ""))).cast("long"))
     t = t.withColumn("__q_n", F.size("__q_l").cast("long"))
@@ -44,7 +48,7 @@ def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.expr("10 * n_symbols > 3 * n_words").alias("symbol_heavy"),
         F.expr("10 * n_dup_lines > 3 * __q_n").alias("line_repeats"),
         F.expr("10 * word_chars < 25 * n_words or word_chars > 12 * n_words").alias("odd_words"),
-    ).drop("__q_t", "__q_w", "__q_l", "__q_g", "__q_s", "__q_p", "__q_n")
+    ).drop("__q_t", "__q_w", "__q_l", "__q_n")
 
 
 def host_verdicts(judged: DataFrame, host_col: str, host_limit: float) -> DataFrame:
