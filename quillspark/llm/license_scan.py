@@ -1,22 +1,27 @@
 """License scan: winnowed fingerprints, an inverted index and banded alignment.
 
-Templates are winnowed (k-grams of words, the least hash of each window of them) into
-an inverted index of fingerprint -> (template, place).  All k-grams of a document are
-looked up, so every template passage of ``window + k - 1`` words that occurs in it
-word for word is found.  Hits near one diagonal propose a place for the template,
-and a banded alignment there reports the template words matched in order, their
-share (coverage) and the span in the document.
+Templates are winnowed (k-grams of words, the least hash of each window of them) with
+the longest grams and widest window, up to ``k`` and ``window``, of which every match of
+the asked coverage keeps one whatever is edited in it; short templates are indexed word
+by word.  All grams of a document are looked up.  Places within the band of a shared
+fingerprint are ruled out exactly by counts of equal words, and a banded alignment at
+each of the others reports the template words matched in order, their share (coverage)
+and the span in the document.
 
 The templates are a fixed parameter of bounded size (``MAX_TEMPLATE_WORDS``).
 
 Defined cases: null or short texts give no rows; repeated rows give repeated
-results; of overlapping matches of one licence the longer is reported; a null
-doc_id is kept as null; extra columns are not read.
+results; of overlapping matches of one licence the one with more words, then the
+tighter, is reported, those of different licences all are (a CC BY-NC statement holds
+6 of the 7 words of the CC BY-SA one); a null doc_id is kept as null; extra columns are
+not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -45,31 +50,70 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, templates, k: int, window: int):
-        self.k, self.templates = k, templates
+    """Fingerprints of the templates, with the gram length and window of each chosen so that
+    every match of ``coverage`` within ``band`` keeps one; ``k`` and ``window`` are the most
+    that is tried."""
+
+    def __init__(self, templates, k: int, window: int, band: int = 12, coverage: float = 0.7):
+        self.templates = templates
         words = [alnum_words(t.encode()) for _, _, t in templates]
         if sum(map(len, words)) > MAX_TEMPLATE_WORDS:
             raise ValueError("templates exceed MAX_TEMPLATE_WORDS")
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
         self.words = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, w in enumerate(self.words):
-            h = _grams(w, min(k, len(w)))
-            for p in winnow(h, window).tolist():
-                self.postings.setdefault(int(h[p]), []).append((t, p))
-        self.known = np.array(sorted(self.postings), np.uint64)
-
-    def hits(self, w: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, document place, template place) of shared fingerprints."""
-        if len(w) < self.k:
-            return []
-        inside = np.lib.stride_tricks.sliding_window_view(w >= 0, self.k).all(axis=1)
-        at = np.flatnonzero(inside)
-        if not len(at):
+        self.filled = np.array([t for t, w in enumerate(self.words) if len(w)], np.int64)
+        self.prints = [_fingerprints(w, k, window, band, needed(len(w), coverage)) for w in self.words]
+        bags = [np.unique(self.words[t], return_counts=True) for t in self.filled]
+        self.bag_word, self.bag_n = (np.concatenate([x[i] for x in bags] or [np.empty(0, np.int64)]) for i in (0, 1))
+        self.bag_start = np.cumsum([0] + [len(x[0]) for x in bags])[:-1]
+        self.sizes = np.array([len(self.words[t]) for t in self.filled], np.int64)
+
+    def possible(self, w: np.ndarray, least: float) -> list[int]:
+        """Templates of whose words, counted, the text has enough."""
+        if not len(self.filled):
             return []
-        h = _grams(w, self.k)[at]
-        at, h = at[np.isin(h, self.known)], h[np.isin(h, self.known)]
-        return [(t, int(p), q) for p, x in zip(at.tolist(), h.tolist(), strict=True) for t, q in self.postings[x]]
+        n = np.bincount(w[w >= 0], minlength=len(self.vocabulary))
+        both = np.add.reduceat(np.minimum(n[self.bag_word], self.bag_n), self.bag_start)
+        return self.filled[both >= least * self.sizes].tolist()
+
+    def diagonals(self, t: int, w: np.ndarray) -> np.ndarray:
+        """Distinct differences of document place and template place of shared fingerprints."""
+        k, places, known, first = self.prints[t]
+        if len(w) < k:
+            return np.empty(0, np.int64)
+        h = _grams(w, k)
+        at = np.flatnonzero(np.isin(h, known) & np.lib.stride_tricks.sliding_window_view(w >= 0, k).all(axis=1))
+        x = np.searchsorted(known, h[at])
+        held = np.zeros(len(w) + len(self.words[t]), bool)
+        for g in np.unique(x).tolist():
+            for q in places[first[g] : first[g + 1]].tolist():
+                held[at[x == g] - q + len(self.words[t])] = True
+        return np.flatnonzero(held) - len(self.words[t])
+
+
+def needed(n: int, least: float) -> int:
+    """Matched words that a template of ``n`` words takes."""
+    return max(1, math.ceil(least * n))
+
+
+def _fingerprints(w: np.ndarray, k: int, window: int, band: int, need: int):
+    """(gram length, template places, sorted hashes, first place of each hash).
+
+    An unmatched word spoils at most k grams and a place of inserted words k - 1; the
+    diagonal climbs by at most ``2 * band`` and what unmatched words lower it, so there are
+    no more such places.  The longest grams and widest window of which more are picked than
+    can be spoilt are taken; single words in windows of one always are enough.
+    """
+    lost = max(0, len(w) - need)
+    for n in range(min(k, len(w)), 0, -1):
+        h = _grams(w, n)
+        for width in range(window, 0, -1):
+            picked = winnow(h, width)
+            if len(picked) > n * lost + (n - 1) * (2 * band + lost) or n == width == 1:
+                picked = picked[np.argsort(h[picked], kind="stable")]
+                known, first = np.unique(h[picked], return_index=True)
+                return n, picked, known, np.append(first, len(picked))
+    return 1, np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(1, np.int64)
 
 
 def align(template: np.ndarray, region: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -103,35 +147,75 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("template
 _FOUND_SQL = "doc_id long, license string, template string, matched_words long, template_words long, coverage double, start_word long, end_word long, start_byte long, end_byte long"
 
 
+def _places(template: np.ndarray, w: np.ndarray, diagonals: np.ndarray, band: int, need: int) -> np.ndarray:
+    """Shifts within ``band`` of a shared fingerprint at which enough template words have an
+    equal word within the band, as a match must."""
+    m, n = len(template), len(w)
+    base = m + band  # shifts run from -base to n + band
+    near = np.zeros(n + m + 2 * band + 2, np.int32)
+    np.add.at(near, diagonals - band + base, 1)
+    np.add.at(near, diagonals + band + 1 + base, -1)
+    close = np.cumsum(near[:-1]) > 0
+    count = np.zeros(len(close), np.int32)
+    for x in np.unique(template).tolist():
+        at = np.flatnonzero(w == x)
+        if not len(at):
+            continue
+        reach = np.zeros(len(close) + m, np.int32)
+        np.add.at(reach, at - band + base, 1)
+        np.add.at(reach, at + band + 1 + base, -1)
+        reach = np.cumsum(reach) > 0
+        for i in np.flatnonzero(template == x).tolist():
+            count += reach[i : i + len(close)]
+    return np.flatnonzero(close & (count >= need)) - base
+
+
+def _scores(template: np.ndarray, w: np.ndarray, shifts: np.ndarray, band: int) -> np.ndarray:
+    """Matched words of ``align`` at each shift."""
+    m, width = len(template), 2 * band + 1
+    pad = np.full(len(w) + 2 * (m + 2 * band + 1), -1, np.int64)
+    pad[m + 2 * band + 1 : m + 2 * band + 1 + len(w)] = w
+    at = shifts[:, None] + np.arange(width) + (m + band + 1)
+    score = np.zeros((len(shifts), width + 1), np.int32)
+    for i in range(m):
+        step = np.maximum(score[:, :width] + (pad[at + i] == template[i]), score[:, 1:])
+        score[:, :width] = np.maximum.accumulate(step, axis=1)
+    return score[:, :width].max(axis=1)
+
+
+def _matches(index: Index, w: np.ndarray, t: int, band: int, least: float) -> set[tuple[int, int, int, int]]:
+    """(template, matched, first, last) of the alignments of one template at all places."""
+    template, out = index.words[t], set()
+    need = needed(len(template), least)
+    shifts = _places(template, w, index.diagonals(t, w), band, need)
+    for i in range(0, len(shifts), 2048):
+        part = shifts[i : i + 2048]
+        for d in part[_scores(template, w, part, band) >= need].tolist():
+            lo, hi = max(0, d - band), min(len(w), d + len(template) + band)
+            matched, first, last = align(template, w[lo:hi], d - lo, band)
+            out.add((t, matched, lo + first, lo + last))
+    return out
+
+
 def scan_words(index: Index, w: np.ndarray, band: int, least: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word) of the reported matches."""
-    out = []
-    for t, group in itertools.groupby(sorted(index.hits(w)), key=lambda x: x[0]):
-        template, upto = index.words[t], []
-        for _, p, q in group:
-            if any(lo <= p < hi and abs(p - q - d) <= band for lo, hi, d in upto[-4:]):
-                continue  # covered by an alignment made for an earlier hit
-            lo = max(0, p - q - band)
-            hi = min(len(w), p - q + len(template) + band)
-            matched, first, last = align(template, w[lo:hi], p - q - lo, band)
-            upto.append((lo, hi, p - q))
-            if matched >= least * len(template):
-                out.append((t, matched, lo + first, lo + last))
-    # of overlapping matches of one licence, the one with more words
-    out.sort(key=lambda x: (-x[1], x[2], x[0]))
-    kept: list[tuple[int, int, int, int]] = []
-    for x in out:
-        name = index.templates[x[0]][1]
-        if not any(index.templates[y[0]][1] == name and x[2] <= y[3] and y[2] <= x[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[2], x[0]))
+    out = [x for t in index.possible(w, least) for x in _matches(index, w, t, band, least)]
+    # of overlapping matches of one licence, the one with more words, then the tighter one
+    out.sort(key=lambda x: (-x[1], x[3] - x[2], x[2], x[0]))
+    kept: dict[str, list[tuple[int, int, int, int]]] = {}
+    for t, matched, first, last in out:
+        own = kept.setdefault(index.templates[t][1], [])
+        i = bisect.bisect(own, (first, last))
+        if (i == 0 or own[i - 1][1] < first) and (i == len(own) or last < own[i][0]):
+            own.insert(i, (first, last, t, matched))
+    return sorted(((t, n, a, b) for own in kept.values() for a, b, t, n in own), key=lambda x: (x[2], x[0]))
 
 
 def license_scan(df: DataFrame, templates=None, k: int = 4, window: int = 4, band: int = 12, coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per template matched in a document, with coverage and spans (ends exclusive)."""
     spark = df.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(Index(templates or TEMPLATES, k, window))
+    shared = spark.sparkContext.broadcast(Index(templates or TEMPLATES, k, window, band, coverage))
 
     def run(batches):
         index = shared.value
