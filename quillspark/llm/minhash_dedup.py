@@ -18,8 +18,8 @@
    of near copies nor one of texts just below the threshold is expanded into pairs.
 5. Components of the confirmed links, after each round.
 
-A pair at the threshold agrees on fewer than ``matches`` coordinates with
-probability below 1e-6 at the defaults (binomial tail); no other pair is lost.
+``matches`` follows from the threshold: a pair at it agrees on fewer coordinates with
+probability below 1e-6 (binomial tail; from 36 percent upwards); no other pair is lost.
 
 Defined cases: a null, empty or wordless text has no shingles and is linked with
 nothing; fewer words than a shingle make one shingle of all; rows that repeat a
@@ -39,12 +39,23 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, bounded_batches, maybe_broadcast, mix64, shingles, space_words, utf8
 from .components import components
 
-COORDS, MATCHES = 32, 16
+COORDS = 32
 _seed = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, (2, COORDS), dtype=np.uint64)
 _SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int32()))])
 _SIG_SQL = "doc_id long, n long, h1 long, h2 long, sig array<int>"
 
 
+def least_matches(percent: int) -> int:
+    """The most coordinates that a pair at the threshold agrees on but for a chance below
+    1e-6; one, where even that is less sure (below 36 percent)."""
+    p, tail = percent / 100, 0.0
+    for m in range(COORDS):
+        tail += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)
+        if tail >= 1e-6:
+            return max(1, m)
+    return COORDS
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     out = np.full(COORDS, (1 << 64) - 1, np.uint64)
     for i in range(0, len(s), 2048):
@@ -194,7 +205,8 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     )
     posted = reps.select("rep", F.posexplode("sig").alias("j", "v")).select("rep", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("v")).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    prefix = COORDS - MATCHES + 1
+    matches = least_matches(percent)
+    prefix = COORDS - matches + 1
     ranked = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
     ranked = ranked.where(F.size("keys") > COORDS - prefix).select("rep", F.explode(F.expr(f"slice(keys, 1, {prefix} - {COORDS} + size(keys))")).alias("k"))
     lists = scratch.keep(ranked.select(F.col("k.key").alias("key"), "rep"))
@@ -247,7 +259,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         if groups.isEmpty():
             break
         hub = groups.groupBy("key").agg(F.max_by(F.struct("rep", "component", "step"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-        linked(groups.join(hub, "key").where("component <> hub.component and abs(step - hub.step) <= 1").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")), MATCHES)
+        linked(groups.join(hub, "key").where("component <> hub.component and abs(step - hub.step) <= 1").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")), matches)
     members = scratch.keep(mixed(lists, "key").select("rep").distinct())
     posted = scratch.keep(prefix_postings(sets, members, percent))
     for turn in (*range(rounds), None):
