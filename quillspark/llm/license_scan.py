@@ -199,16 +199,33 @@ def _matches(index: Index, w: np.ndarray, t: int, band: int, least: float) -> se
 
 def scan_words(index: Index, w: np.ndarray, band: int, least: float) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word) of the reported matches."""
-    out = [x for t in index.possible(w, least) for x in _matches(index, w, t, band, least)]
-    # of overlapping matches of one licence, the one with more words, then the tighter one
-    out.sort(key=lambda x: (-x[1], x[3] - x[2], x[2], x[0]))
-    kept: dict[str, list[tuple[int, int, int, int]]] = {}
-    for t, matched, first, last in out:
-        own = kept.setdefault(index.templates[t][1], [])
-        i = bisect.bisect(own, (first, last))
-        if (i == 0 or own[i - 1][1] < first) and (i == len(own) or last < own[i][0]):
-            own.insert(i, (first, last, t, matched))
-    return sorted(((t, n, a, b) for own in kept.values() for a, b, t, n in own), key=lambda x: (x[2], x[0]))
+    by_licence: dict[str, list[int]] = {}
+    for t in index.possible(w, least):
+        by_licence.setdefault(index.templates[t][1], []).append(t)
+    kept = []
+    for own in by_licence.values():
+        parts = [(0, len(w))]
+        while parts:
+            lo, hi = parts.pop()
+            likely = set(index.possible(w[lo:hi], least)).intersection(own)
+            found = _apart(x for t in sorted(likely) for x in _matches(index, w[lo:hi], t, band, least))
+            kept += [(t, n, lo + a, lo + b) for a, b, t, n in found]
+            # an alignment may be drawn to a better match near by: look again between those found
+            if found:
+                edges = [lo, *(lo + e for a, b, _, _ in found for e in (a, b + 1)), hi]
+                parts += [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
+    return sorted(kept, key=lambda x: (x[2], x[0]))
+
+
+def _apart(matches) -> list[tuple[int, int, int, int]]:
+    """(first, last, template, matched); of overlapping matches the one with more words, then
+    the tighter one."""
+    kept: list[tuple[int, int, int, int]] = []
+    for t, matched, first, last in sorted(matches, key=lambda x: (-x[1], x[3] - x[2], x[2], x[0])):
+        i = bisect.bisect(kept, (first, last))
+        if (i == 0 or kept[i - 1][1] < first) and (i == len(kept) or last < kept[i][0]):
+            kept.insert(i, (first, last, t, matched))
+    return kept
 
 
 def license_scan(df: DataFrame, templates=None, k: int = 4, window: int = 4, band: int = 12, coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,3 +72,13 @@ def test_long_template_edited_in_every_gram():
     t = next(i for i, x in enumerate(TEMPLATES) if x[0] == "isc-text")
     words = [b"zz" if i % 4 == 3 else x for i, x in enumerate(alnum_words(TEMPLATES[t][2].encode()))]
     assert [x[0] for x in license_scan.scan_words(index, encoded(index, words), BAND, LEAST)] == [t]
+
+
+@pytest.mark.parametrize("texts", [["Licensed under CC BY-NC 4.0."] * 2, ["Released under the MIT License."] * 3, ["Licensed under CC BY-NC 4.0.", "Licensed under the CC NC 4.0.", "Licensed under CC BY-NC 4.0."]])
+def test_repeated_statements_each_give_a_span(texts):
+    index = license_scan.Index(TEMPLATES, 4, 4)
+    licence = "MIT" if "MIT" in texts[0] else "CC-BY-NC-4.0"
+    parts = [alnum_words(x.encode()) for x in texts]
+    out = license_scan.scan_words(index, encoded(index, sum(parts, [])), BAND, LEAST)
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    assert [(a, b + 1) for t, _, a, b in out if TEMPLATES[t][1] == licence] == [(e - len(x), e) for e, x in zip(ends, parts, strict=True)]
