@@ -82,3 +82,9 @@ def test_repeated_statements_each_give_a_span(texts):
     out = license_scan.scan_words(index, encoded(index, sum(parts, [])), BAND, LEAST)
     ends = np.cumsum([len(x) for x in parts]).tolist()
     assert [(a, b + 1) for t, _, a, b in out if TEMPLATES[t][1] == licence] == [(e - len(x), e) for e, x in zip(ends, parts, strict=True)]
+
+
+def test_callers_templates_shorter_than_a_gram():
+    index = license_scan.Index([("a", "A", "Beerware"), ("b", "B", "Zlib license"), ("c", "C", "")], 4, 4)
+    scan = lambda text: [(t, a, b) for t, _, a, b in license_scan.scan_words(index, encoded(index, alnum_words(text)), BAND, LEAST)]
+    assert scan(b"beerware") == [(0, 0, 0)] and scan(b"This is under the Zlib license") == [(1, 4, 5)] and scan(b"none") == scan(b"") == []
