@@ -22,7 +22,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 class LinearClassifier:
     """Multinomial logistic regression with balanced weights; isotonic calibration over folds."""
 
-    def __init__(self, max_iter: int = 100, c: float = 1.0, folds: int = 3, seed: int = 42):
+    def __init__(self, max_iter: int = 1000, c: float = 1.0, folds: int = 3, seed: int = 42):
         self.max_iter, self.c, self.folds, self.seed = max_iter, c, folds, seed
         self.models: list = []
         self.labels: list[str] = []
