@@ -245,7 +245,8 @@ def joined_hard_wraps(c) -> Column:
     end = fixed.WRAP_END.removesuffix("$")
     bullet = fixed.WRAP_BULLET.removeprefix("^")
     c = replaced(c, [(r"[ \t]+(?=\n)|[ \t]+\z", ""), (r"\A\n+", "")])
-    join = rf"\n(?<=[^\n]\n{{1,200}})(?<!{end}\n{{1,200}})(?!\n*{bullet})(?!\n*\z)[ \t]*"
+    # the first line end of a run decides, the others follow it
+    join = rf"(?:(?<=[^\n])(?<!{end})(?=\n++(?!{bullet})(?!\z))|(?!\A)\G)\n[ \t]*"
     return replaced(c, [(join, " "), (r"\n{2,}", "\n"), (r"\n+\z", "")])
 
 
@@ -253,7 +254,8 @@ def joined_broken_lines(c) -> Column:
     """A line is glued to the next unless it ends a sentence, the next heads a section, or either is blank."""
     head = fixed.SECTION_HEAD.removeprefix("^")
     c = each_line(c, utrim)
-    return replaced(c, [(rf"\n(?<!\n\n|\A\n)(?<!{fixed.SENTENCE_END}[{fixed.CLOSERS}]{{0,8}}\n)(?!{head})(?=[^\n])", " ")])
+    # no trimmed line ends with a tab, so one marks the ends of sentences
+    return replaced(c, [(rf"({fixed.SENTENCE_END}[{fixed.CLOSERS}]*+)\n", "$1\t\n"), (rf"\n(?<!\n\n|\A\n|\t\n)(?!{head})(?=[^\n])", " "), (r"\t\n", "\n")])
 
 
 # --- characters and tokens ----------------------------------------------------------
@@ -284,7 +286,7 @@ def punctuated(c) -> Column:
 def sentences(c, end: str = fixed.SENTENCE_END, closers: str = fixed.CLOSERS, stop: str = "。", long: int = 25) -> Column:
     """Array of sentences; a long piece without an end mark gets one, pieces of punctuation go."""
     paragraphs = F.transform(F.split(replaced(c, [("[ \t]+", " ")]), "\n", -1), utrim)
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.split(p, f"(?<={end}[{closers}]{{0,8}}) ", -1)))
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.split(replaced(p, [(f"({end}[{closers}]*+) ", "$1\n")]), "\n", -1)))
     pieces = F.transform(pieces, utrim)
     marked = F.transform(pieces, lambda s: F.when(~found(s, f"{end}[{closers}]*$") & (F.length(s) >= long), F.concat(s, F.lit(stop))).otherwise(s))
     return F.filter(marked, lambda s: utrim(replaced(s, [(r"\p{P}+", "")])) != "")
