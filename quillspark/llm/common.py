@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -10,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries
+    _trim = None
+
 #: Largest side, in bytes, that an operator may broadcast; beyond it sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
@@ -31,9 +37,12 @@ def alnum_words(raw: bytes) -> list[bytes]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see; set to a fresh local one only where unset (tests)."""
+    """The folder all executors see.  Where the cluster names none, a session of a single
+    process gets a folder of its own; others must be told one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -74,25 +83,25 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def byte_lists(column: pa.Array) -> list[bytes]:
-    return column.to_pylist()
+def maybe_broadcast(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written table only if its counted rows times ``width`` fit ``limit``."""
+    return F.broadcast(df) if df.count() * width <= limit else df
 
 
-def table_bytes(spark: SparkSession, df: DataFrame, width: int) -> int:
-    """Rows times a row's width: the size by which a broadcast is decided."""
-    return df.count() * width
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
-def maybe_broadcast(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a written table only if its counted rows times ``width`` fit ``limit``."""
-    return F.broadcast(df) if df.count() * width <= limit else df
+def released(run):
+    """The batch function, after which its worker gives freed memory back to the system."""
 
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
 
-def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip((columns[f.name] for f in schema), schema, strict=True)],
-        schema=schema,
-    )
+    return wrapped
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

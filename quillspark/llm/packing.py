@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, utf8
-from .token_counts import counter
+from .common import Scratch, bounded_batches, released, utf8
+from .token_counts import worker_table
 
 
 def best_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -62,10 +62,11 @@ def best_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 def with_token_counts(df: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
 
+    @released
     def run(batches):
-        count = counter(path)
+        table = worker_table(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(raw) for raw in b.column(1).to_pylist()], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(table.counts(b.column(1).to_pylist()), pa.int64())], schema=schema)
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw")).mapInArrow(run, "doc_id long, n long")
 

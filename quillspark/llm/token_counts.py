@@ -1,98 +1,65 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of the lengths of frequent pre-tokens (groups behind
-a space), broadcast to all workers; tier two is a cache in each worker, which
-encodes what misses the first time.  No pre-token is shuffled: each task sends at most
-``head`` candidates for the table, found over all its texts, and the table holds
-at most ``table`` of them.  The table only saves work; counts are the library's.
-
-Defined cases: null text counts as empty; texts with characters outside the
-compared range, and added tokens inside texts, are counted as the library counts
-them; rows are kept one to one, so repeats and null ids stay.
+Tier one is a compact table of the lengths of frequent pre-tokens, broadcast to all
+workers; tier two is a cache in each worker, which encodes what misses the first time.
+No pre-token is shuffled.  The table comes from a bounded sample of rows: at most
+``sample_docs`` texts of at most ``sample_bytes`` bytes, the first by a hash of their
+bytes, and holds at most ``table`` pre-tokens.  It only saves work: whatever it holds,
+each count is the library's, over the whole text.
+
+Defined cases: null text counts as empty; texts with characters outside the compared
+range, and added tokens inside texts, are counted as the library counts them; rows are
+kept one to one, so repeats, ties and null ids stay; a text of any length is cut as one;
+an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
-from .pretokens import Kept, pieces
+from .common import bounded_batches, released, utf8
+from .pretokens import Table, distinct_pieces, pieces
 
-_OUT = "n_tokens long"
 
+def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", sample_docs: int = 1024, sample_bytes: int = 16384, table: int = 32768) -> dict[bytes, int]:
+    """Pre-token -> its number of tokens, for the most frequent of the sample."""
+    raw = utf8(text_col)
+    sample = df.select(raw.alias("raw"), F.xxhash64(raw).alias("h")).where(f"length(raw) between 1 and {sample_bytes}").orderBy("h").limit(sample_docs).select("raw").collect()
+    p, seen = pieces(path), Counter()
+    texts = [t for r in sample if (t := p.plain(bytes(r[0]))) is not None]
+    if texts:
+        found, _ = distinct_pieces(texts, p.clip)
+        seen.update(dict(zip(found[0], np.bincount(found[1], minlength=len(found[0])).tolist(), strict=True)))
+    top = [x for x, n in seen.most_common(table) if n > 1 and len(x) <= 32]
+    return dict(zip(top, p.encoded(top)[1].tolist(), strict=True)) if top else {}
 
-def _heads(path: str, head: int):
-    schema = pa.schema([("piece", pa.string()), ("c", pa.int64())])
 
-    def run(batches):
-        seen: Counter = Counter()
-        groups = pieces(path).groups
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                seen.update((groups(raw.decode("utf-8", "replace")) or ())[1:])
-            if len(seen) > 16 * head:
-                seen = Counter(dict(seen.most_common(4 * head)))
-        top = [(p, c) for p, c in seen.most_common(head) if c > 1 and len(p) <= 32]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], schema=schema)
-
-    return run
-
-
-def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", head: int = 8192, table: int = 32768) -> tuple[str, bytes]:
-    """The compact table: pre-tokens joined by NUL, and one length byte each."""
-    found = df.select(utf8(text_col).alias("raw")).mapInArrow(_heads(path, head), "piece string, c long")
-    top = found.groupBy("piece").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "piece").limit(table).select("piece").collect()
-    group_ids = pieces(path).group_ids
-    lengths = {r[0]: group_ids(r[0]) for r in top if "\0" not in r[0]}
-    lengths = {k: len(v) for k, v in lengths.items() if v is not None and len(v) < 256}
-    return "\0".join(lengths), bytes(lengths.values())
-
-
-#: Length of a group that only the whole text can tell; no sum of lengths comes near it.
-_OPEN = 1 << 60
-
-
-@functools.lru_cache(maxsize=2)
-def _table(path: str, joined: str, lengths: bytes) -> Kept:
-    p = pieces(path)
-
-    def miss(group: str) -> int:
-        ids = p.group_ids(group)
-        return _OPEN if ids is None else len(ids)
-
-    return Kept(miss, dict(zip(joined.split("\0"), lengths, strict=True)) if lengths else {})
-
-
-def counter(path: str, joined: str = "", lengths: bytes = b""):
-    """bytes -> number of tokens, with this worker's caches."""
-    p, get = pieces(path), _table(path, joined, lengths).__getitem__
+#: This worker's table, by the query it was made for; it outlives the task.
+_tables: dict[tuple[str, str], Table] = {}
 
-    def count(raw: bytes) -> int:
-        text = raw.decode("utf-8", "replace")
-        groups = p.groups(text)
-        if groups is not None:
-            n = sum(map(get, groups[1:]))
-            if n < _OPEN:
-                return n + len(p.ids(groups[0]))
-        return len(p.ids(text))
 
-    return count
+def worker_table(path: str, key: str = "", shared=None) -> Table:
+    if (path, key) not in _tables:
+        _tables.clear()
+        _tables[path, key] = Table(path, base=shared.value if shared is not None else None)
+    return _tables[path, key]
 
 
 def _count(path: str, shared):
+    key = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
+    @released
     def run(batches):
-        count = counter(path, *shared.value)
+        table = worker_table(path, key, shared)
         for b in batches:
-            n = [count(raw) for raw in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(table.counts(b.column(2).to_pylist()), pa.int64())], schema=schema)
 
     return run
 

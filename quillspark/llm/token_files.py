@@ -8,14 +8,13 @@ lies beside the blocks.  Blocks are numbered (part, block) in ascending doc_id o
 They are written through Spark, so any store that Spark writes will do.
 
 Defined cases: null text is empty, and has the end id alone; rows that repeat a
-doc_id stand side by side, ordered by their ids; a null doc_id comes first; empty
-tables give empty files.
+doc_id stand side by side, ordered by their ids; a null doc_id comes first; a text of
+any length stands in one block, which grows with it; empty tables give empty files;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
-import struct
 import zlib
 
 import numpy as np
@@ -24,99 +23,103 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, utf8
-from .pretokens import Kept, pieces
+from .common import Scratch, bounded_batches, released, utf8
+from .pretokens import Table, pieces
 
 #: bytes of each of the four values that a control byte describes
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
 
+def _control(extra: np.ndarray) -> bytes:
+    padded = np.zeros(-(-len(extra) // 4) * 4, np.uint8)
+    padded[: len(extra)] = extra
+    q = padded.reshape(-1, 4)
+    return (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes()
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values."""
     v = values.astype(np.uint32)
+    if not len(v) or v.max() <= 0xFFFF:
+        extra, data = v > 0xFF, v.astype("<u2").view(np.uint8)
+        keep = np.ones((len(v), 2), bool)
+        keep[:, 1] = extra
+        return _control(extra), data[keep.ravel()].tobytes()
     extra = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = extra
-    q = padded.reshape(-1, 4)
-    control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
     size = extra.astype(np.int64) + 1
     at = np.cumsum(size) - size
     data = np.empty(int(size.sum()), np.uint8)
     for k in range(4):
         m = extra >= k
         data[at[m] + k] = (v[m] >> np.uint32(8 * k)) & np.uint32(255)
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    return _control(extra), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values of (control, data)."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
+    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    at = np.cumsum(size, dtype=np.int64) - size
     d = np.frombuffer(data, np.uint8)
     out = d[at].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(size.max()) if n else 1):
         m = np.flatnonzero(size > k)
         if len(m):
             out[m] |= d[at[m] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Kept:
-    p = pieces(path)
+#: This worker's table of pre-tokens by tokenizer file; it outlives the task.
+_tables: dict[str, Table] = {}
 
-    def packed(group: str) -> bytes:
-        ids = p.group_ids(group)
-        return struct.pack(f"<{len(ids)}I", *ids)
 
-    return Kept(packed)
+def _kept(path: str) -> Table:
+    if path not in _tables:
+        _tables.clear()
+        _tables[path] = Table(path, keep_ids=True)
+    return _tables[path]
 
 
 def _encode(path: str, end: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    tail = np.array([end], "<u4").tobytes()
+    """Texts -> their ids in two bytes each (four where the vocabulary is larger); behind the
+    task's last row one more without ids, whose ``tally`` counts all ids of the task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tally", pa.binary())])
 
+    @released
     def run(batches):
-        p, get = pieces(path), _encoder(path).__getitem__
+        table, total = _kept(path), np.zeros(1, np.int64)
+        kind = _width(table.p.vocabulary, end)
         for b in batches:
-            out = []
-            for raw in b.column(1).to_pylist():
-                text = raw.decode("utf-8", "replace")
-                groups = p.groups(text) if p.clip else None
-                ids = np.array(p.ids(text), "<u4").tobytes() if groups is None else b"".join(map(get, groups))
-                out.append(_narrow(ids + tail))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], schema=schema)
+            ids, count = table.ids(b.column(1).to_pylist(), end)
+            seen = np.bincount(ids, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            ends = np.concatenate(([0], np.cumsum(count) * np.dtype(kind).itemsize)).astype(np.int32)
+            held = pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([b.column(0), held, pa.nulls(len(count), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
-    """uint16 behind a zero byte where all ids fit, else uint32 behind a one."""
-    v = np.frombuffer(ids, "<u4")
-    return b"\0" + v.astype("<u2").tobytes() if not len(v) or v.max() < 1 << 16 else b"\1" + ids
-
-
-def _wide(kept: bytes) -> np.ndarray:
-    return np.frombuffer(kept, "<u4" if kept[0] else "<u2", offset=1).astype(np.int64)
+def _width(vocabulary: int, end: int) -> str:
+    return "<u2" if max(vocabulary, end + 1) <= 1 << 16 else "<u4"
 
 
 def _tally(batches):
     schema = pa.schema([("id", pa.int64()), ("c", pa.int64())])
-    total = np.zeros(1, np.int64)
     for b in batches:
-        for kept in b.column(0).to_pylist():
-            c = np.bincount(_wide(kept), minlength=len(total))
-            c[: len(total)] += total
-            total = c
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], schema=schema)
+        for held in b.column(0).to_pylist():
+            total = np.frombuffer(held, np.int64)
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], schema=schema)
 
 
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("lens", pa.binary()), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 _BLOCK_SQL = "part int, block int, doc_ids binary, known binary, lens binary, n_ids long, control binary, data binary"
 
 
-def _write(ranks, block_ids: int):
+def _write(ranks, block_ids: int, kind: str):
+    @released
     def run(batches):
         rank = np.frombuffer(ranks.value, np.int32)
         part, block = TaskContext.get().partitionId(), 0
@@ -132,7 +135,7 @@ def _write(ranks, block_ids: int):
         for b in batches:
             for d, kept in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 docs.append(d)
-                ids.append(_wide(kept))
+                ids.append(np.frombuffer(kept, kind))
                 size += len(ids[-1])
                 if size >= block_ids:
                     yield flush()
@@ -147,9 +150,10 @@ def write_files(df: DataFrame, folder: str, path: str, scratch: Scratch, end: in
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw"))
-    encoded = scratch.keep(docs.mapInArrow(_encode(path, end), "doc_id long, ids binary"))
+    written = scratch.keep(docs.mapInArrow(_encode(path, end), "doc_id long, ids binary, tally binary"))
+    encoded = written.where("ids is not null").select("doc_id", "ids")
     # at most one row per id of the vocabulary reaches the driver
-    counts = encoded.select("ids").mapInArrow(_tally, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "id").collect()
+    counts = written.select("tally").where("tally is not null").mapInArrow(_tally, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "id").collect()
     by_rank = np.array([r[0] for r in counts], np.int64)
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.int32)
@@ -157,7 +161,7 @@ def write_files(df: DataFrame, folder: str, path: str, scratch: Scratch, end: in
     shared = spark.sparkContext.broadcast(rank.tobytes())
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), encoded.rdd.getNumPartitions())
     ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_write(shared, block_ids), _BLOCK_SQL).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(_write(shared, block_ids, _width(pieces(path).vocabulary, end)), _BLOCK_SQL).write.parquet(f"{folder}/blocks")
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -193,8 +197,8 @@ def read_digest(spark: SparkSession, folder: str) -> DataFrame:
                 docs, known, lens, ids = decode(row)
                 ends = np.cumsum(lens)
                 begin = starts[row["part"]] + row["before"]
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=known == 0), pa.array(begin + ends - lens), pa.array(lens), pa.array(crc, pa.int64())], schema=_READ)
 
     sizes = blocks.select("part", "block", "n_ids")
