@@ -12,10 +12,13 @@
    drawn anew each round, which so leads most lists of its group, is paired with
    the members of other components.  Pairs that agree on ``matches``
    coordinates are confirmed on the full shingle sets.
-   The members of lists that still span components after ``rounds`` rounds meet
-   once more by the prefixes of their full sets, rarest shingle first, under the
-   size and position bounds of the threshold; no link is lost, and neither a group
-   of near copies nor one of texts just below the threshold is expanded into pairs.
+   Texts whose lists still span components after ``rounds`` rounds are just below the
+   threshold or share a passage.  Collisions cannot tell these apart, so they are
+   settled by their full sets: they meet by the rarest shingles of their sets, and a
+   pair is confirmed only if its sizes, the places of the shingle, a bitmap of each set
+   and the shingles shared by both prefixes leave room for the threshold.  No link is
+   lost, and neither a group of near copies nor one of texts just below the threshold
+   is expanded into pairs.
 5. Components of the confirmed links, after each round.
 
 ``matches`` follows from the threshold: a pair at it agrees on fewer coordinates with
@@ -23,8 +26,9 @@ probability below 1e-6 (binomial tail; from 36 percent upwards); no other pair i
 
 Defined cases: a null, empty or wordless text has no shingles and is linked with
 nothing; fewer words than a shingle make one shingle of all; rows that repeat a
-doc_id share its component; a null doc_id is alone (component null, not kept);
-extra columns are not read.
+doc_id share its component; a null doc_id is alone (component null, not kept); a
+very long text has the same signature and bitmap sizes as any, and its set is held
+once; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bounded_batches, maybe_broadcast, mix64, shingles, space_words, utf8
+from .common import Scratch, WordHashes, bounded_batches, maybe_broadcast, mix64, released, shingles, space_words, utf8
 from .components import components
 
 COORDS = 32
@@ -65,6 +69,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signatures(size: int):
+    @released
     def run(batches):
         words = WordHashes()
         for b in batches:
@@ -117,6 +122,7 @@ def reachable(percent: int) -> str:
 def _full_sets(size: int):
     schema = pa.schema([("rep", pa.int64()), ("h1", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
+    @released
     def run(batches):
         words = WordHashes()
         for b in batches:
@@ -134,6 +140,7 @@ def _full_sets(size: int):
 def _confirm(percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    @released
     def run(batches):
         for b in batches:
             keep = []
@@ -155,6 +162,7 @@ def _confirm(percent: int):
 _TOKEN_SQL = "rep long, h1 long, n long, h long"
 
 
+@released
 def _tokens(batches):
     schema = pa.schema([("rep", pa.int64()), ("h1", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
     for b in batches:
@@ -166,9 +174,14 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, np.repeat(size, size), np.concatenate(sets[i : i + 64]))], schema=schema)
 
 
+#: Shingles of a prefix that each of its postings carries.
+HEAD = 24
+
+
 def prefix_postings(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(h, rep, n, place, sketch): the prefixes of the members' full sets, without the shingles
-    that only one member has."""
+    """(h, rep, n, place, top, rest, last, sketch): the prefixes of the members' full sets, without
+    the shingles that only one member has.  top: the first ``HEAD`` of the prefix, ``last`` the
+    order of its last, ``rest`` the shingles of the set behind that."""
     own = sets.join(members, "rep", "left_semi")
     tokens = own.select("rep", "h1", "shingles").mapInArrow(_tokens, _TOKEN_SQL)
     shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
@@ -176,20 +189,31 @@ def prefix_postings(sets: DataFrame, members: DataFrame, percent: int) -> DataFr
     # unshared shingles are rarer than all shared ones and fill the first places
     held = held.withColumn("first", F.col("n") - F.size("hs")).withColumn("room", F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - first as int)")).where("room > 0")
     held = held.join(own.select("rep", "h1", "bits"), ["rep", "h1"])
-    held = _sketched(held).select("rep", "n", "first", *_SKETCH, F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
-    return held.select(F.col("t.h").alias("h"), "rep", "n", (F.col("first") + F.col("i") + 1).alias("place"), *_SKETCH)
+    held = held.withColumn("head", F.expr(f"slice(hs, 1, least(room, {HEAD}))")).withColumns({"top": F.expr("head.h"), "rest": F.expr("n - first - size(head)"), "last": F.expr("element_at(head, -1)")})
+    held = _sketched(held).select("rep", "n", "first", "top", "rest", "last", *_SKETCH, F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
+    return held.select(F.col("t.h").alias("h"), "rep", "n", (F.col("first") + F.col("i") + 1).alias("place"), "top", "rest", "last", *_SKETCH)
+
+
+def _heads(k: str) -> list:
+    return [F.col(c).alias(c + k) for c in ("top", "rest", "last")]
 
 
 def prefix_pairs(posted: DataFrame, percent: int, turn: int | None) -> DataFrame:
-    """Pairs (a, b) of different components that can reach the threshold by the sizes of
-    their sets and the places of a shared shingle.  posted: postings with component.
-    With a turn, only those with a member drawn for each list."""
-    y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"), *_side("b"))
+    """Pairs (a, b) of different components that can reach the threshold by the sizes of their
+    sets, the places of a shared shingle and all shingles that the heads of both prefixes share:
+    what else they share lies behind the head that ends first.  A pair comes once, from the first
+    shingle its heads share.  posted: postings with component.  With a turn, only pairs with a
+    member drawn for each list, from any of their lists."""
+    y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"), *_side("b"), *_heads("b"))
     if turn is not None:
-        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb", *(c + "b" for c in _SKETCH)), F.xxhash64("b", F.lit(turn))).alias("y")).select("h", "y.*")
-    x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"), *_side("a"))
+        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb", *(c + "b" for c in (*_SKETCH, "top", "rest", "last"))), F.xxhash64("b", F.lit(turn))).alias("y")).select("h", "y.*")
+    x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"), *_side("a"), *_heads("a"))
     differ = "ca <> cb" if turn is not None else "ca < cb"
     bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb) and {reachable(percent)}"
+    both = "array_intersect(topa, topb)"
+    bound += f" and (100 + {percent}) * (size({both}) + if(lasta <= lastb, resta, restb)) >= {percent} * (na + nb)"
+    if turn is None:
+        bound += f" and coalesce(get({both}, 0) = h, true)"
     return x.join(y, "h").where(f"{differ} and {bound}").select("a", "b")
 
 
@@ -212,7 +236,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     lists = scratch.keep(ranked.select(F.col("k.key").alias("key"), "rep"))
 
     wanted = scratch.keep(lists.select(F.col("rep").alias("doc_id")).distinct())
-    sets = docs.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi").mapInArrow(_full_sets(size), _SETS_SQL)
+    sets = docs.join(maybe_broadcast(wanted, 64), "doc_id", "left_semi").mapInArrow(_full_sets(size), _SETS_SQL)
     sets = scratch.keep(sets.dropDuplicates(["rep", "h1"]))
     sigs = scratch.keep(reps.select("rep", "n", "sig", "h1").join(sets.select("rep", "h1", "bits"), ["rep", "h1"]).transform(_sketched))
     lists = scratch.keep(lists.join(sigs.groupBy("rep").agg(F.min(F.floor(F.log("n") / math.log(100 / percent))).alias("step")), "rep"))
@@ -226,7 +250,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         pairs = pairs.join(a, "u").join(b, "v").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {reachable(percent)}").where(agree >= matches)
         pairs = scratch.keep(pairs.select("u", "ha", "v", "hb"))
         need = scratch.keep(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct())
-        own = sets.join(maybe_broadcast(need, 16), "rep", "left_semi")
+        own = sets.join(maybe_broadcast(need, 64), "rep", "left_semi")
         x = own.select(F.col("rep").alias("u"), F.col("h1").alias("ha"), F.col("shingles").alias("x"))
         y = own.select(F.col("rep").alias("v"), F.col("h1").alias("hb"), F.col("shingles").alias("y"))
         return scratch.keep(pairs.join(y, ["v", "hb"]).join(x, ["u", "ha"]).select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
@@ -278,7 +302,7 @@ def keep_one(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     """The rows whose doc_id is their component's least; of rows that repeat a doc_id, one."""
     judged = near_duplicates(df, scratch, id_col, text_col, **options)
     gone = scratch.keep(judged.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__q_gone")).distinct())
-    kept = df.join(maybe_broadcast(gone, 16), F.col(id_col).cast("long") == F.col("__q_gone"), "left_anti")
+    kept = df.join(maybe_broadcast(gone, 64), F.col(id_col).cast("long") == F.col("__q_gone"), "left_anti")
     twice = scratch.keep(judged.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__q_twice")))
     if not twice.limit(1).count():
         return kept
