@@ -24,7 +24,9 @@ Plan
 Defined cases: null text is empty text; an empty or short text loses nothing; a
 row without doc_id takes no part and loses nothing; rows that repeat a doc_id and
 its text are one document, lose the same bytes, and are no reason for removal to
-each other (the ids of different texts must differ); extra columns stay as they are.
+each other; different texts of one doc_id are documents of their own, in an order
+fixed by their hashes; a very long text is cut into blocks whose windows partition
+its own; an empty table gives no rows; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import BROADCAST_BYTES, Scratch, bounded_batches, utf8
+from .common import Scratch, bounded_batches, released, utf8
 from .anchors import MATCH, mix
 
 _RUN = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("kind", pa.int32())])
@@ -47,6 +50,10 @@ _OPEN_SQL = "route long, doc long, at long, lead int, body binary"
 _SPAN = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 _SPAN_SQL = "doc long, at long, n int"
 
+#: A position carries, above these bits, the number of its text among those of one doc_id.
+TEXT_BITS = 40
+_PLACE = (1 << TEXT_BITS) - 1
+
 #: kinds of a run: not judged, repeated, first of its content beside other contents
 _UNKNOWN, _REPEATED, _OPEN_RUN = 0, 1, 2
 
@@ -62,13 +69,14 @@ def _flush_runs(pieces):
     return anchor.view(np.int64), content.view(np.int64), doc, at, n, lead
 
 
+@released
 def _document_runs(batches):
     for b in batches:
         parts, held, size = [], [], 0
-        for d, raw in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1), strict=True):
+        for d, raw, text in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2).to_pylist(), strict=True):
             raw = np.frombuffer(raw.as_buffer(), np.uint8)
             for off, n in anchors.blocks(len(raw)):
-                held.append((d, off, raw[off : off + n]))
+                held.append((d, off | text << TEXT_BITS, raw[off : off + n]))
                 size += n
                 if size >= anchors.BLOCK:
                     parts.append(_flush_runs(held))
@@ -99,6 +107,7 @@ def _rows(a, c, d, p, n, kind):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, c, d, p, n.astype(np.int32), kind)], schema=_RUN)
 
 
+@released
 def _judge(batches):
     """Runs sorted by (anchor, content, doc, at) -> repeated runs and open runs."""
     held = None  # last content's first run: (anchor, content, doc, at, n), not yet known to be open
@@ -142,14 +151,17 @@ def _judge(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.array([x], t)) for x, t in zip((*held, _OPEN_RUN), (np.int64,) * 4 + (np.int32,) * 2, strict=True)], schema=_RUN)
 
 
+@released
 def _fetch(batches):
     """Texts with the open runs asked of them -> the runs' bytes, dealt by anchor or by window."""
     for b in batches:
         rows = {k: [] for k in _OPEN.names}
-        for doc, raw, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for doc, raw, text, asked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             for x in asked:
                 at, n, lead = x["at"], x["n"] & 127, x["n"] >> 7
-                body = raw[at : at + n + MATCH - 1]
+                if at >> TEXT_BITS != text:
+                    continue
+                body = raw[at & _PLACE : (at & _PLACE) + n + MATCH - 1]
                 if x["hot"]:
                     p, i = anchors.prefix_sums(np.frombuffer(body, np.uint8)), np.arange(n)
                     routes = anchors.span_hash(p, i, i + MATCH).view(np.int64).tolist()
@@ -222,6 +234,7 @@ def cover_sort(bodies: list[bytes], leads: np.ndarray) -> tuple[np.ndarray, np.n
     return w, out
 
 
+@released
 def _settle(batches):
     """Open runs sorted by (route, doc, at) -> windows that occurred earlier, as spans."""
 
@@ -264,6 +277,7 @@ def _settle(batches):
 _PACKED = pa.schema([("doc", pa.int64()), ("cuts", pa.binary())])
 
 
+@released
 def _pack(batches):
     """Spans of repeated windows per document -> maximal byte spans, as int64 pairs."""
     for b in batches:
@@ -283,20 +297,29 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cuts, pa.binary())], schema=_PACKED)
 
 
-def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000) -> DataFrame:
+def _numbered(df: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """df with __q_doc, the id, and __q_text, the number of the row's text among those of its id."""
+    h = F.xxhash64(utf8(text_col))
+    out = df.withColumn("__q_doc", F.col(id_col).cast("long"))
+    hashes = out.where("__q_doc is not null").select(F.col("__q_doc").alias("__q_twice"), h.alias("h")).groupBy("__q_twice")
+    twice = scratch.keep(hashes.agg(F.sort_array(F.collect_set("h")).alias("__q_hashes")).where("size(__q_hashes) > 1"))
+    if twice.isEmpty():
+        return out.withColumn("__q_text", F.lit(0).cast("long"))
+    number = F.coalesce(F.array_position("__q_hashes", h) - 1, F.lit(0)).cast("long")
+    return out.join(twice, F.col("__q_doc") == F.col("__q_twice"), "left").withColumn("__q_text", number).drop("__q_twice", "__q_hashes")
+
+
+def repeated_spans(numbered: DataFrame, scratch: Scratch, text_col: str = "text", hot: int = 20_000) -> DataFrame:
     """(doc, cuts): for each document that loses bytes, its maximal removed byte spans
-    as int64 (start, end) pairs."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("raw")).where("doc is not null")
+    as int64 (start, end) pairs, with the number of its text above ``TEXT_BITS``."""
+    bounded_batches(numbered.sparkSession)
+    docs = numbered.select(F.col("__q_doc").alias("doc"), utf8(text_col).alias("raw"), F.col("__q_text").alias("text")).where("doc is not null")
     found = scratch.keep(docs.where(F.length("raw") >= MATCH).mapInArrow(_document_runs, _RUN_SQL).transform(_judged))
     asked = found.where(f"kind = {_OPEN_RUN}")
     crowded = asked.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
     asked = asked.join(crowded, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    asked = scratch.keep(asked)
-    wide = found.where(f"kind = {_OPEN_RUN}").count() * 32
-    side = F.broadcast(asked) if wide <= BROADCAST_BYTES else asked
-    opened = docs.join(side, "doc").select("doc", "raw", "asked").mapInArrow(_fetch, _OPEN_SQL)
+    # what is asked grows with the texts: both sides are dealt by document
+    opened = docs.join(scratch.keep(asked), "doc").select("doc", "raw", "text", "asked").mapInArrow(_fetch, _OPEN_SQL)
     settled = opened.repartition("route").sortWithinPartitions("route", "doc", "at").mapInArrow(_settle, _SPAN_SQL)
     spans = found.where(f"kind = {_REPEATED}").select("doc", "at", "n").unionByName(settled)
     packed = spans.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans")).mapInArrow(_pack, "doc long, cuts binary")
@@ -311,11 +334,10 @@ def _judged(runs: DataFrame) -> DataFrame:
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def cut(raw: bytes, cuts: bytes | None) -> tuple[bytes, int, int]:
-    """(remaining bytes, removed bytes, spans)."""
-    if not cuts:
-        return raw, 0, 0
-    s = np.frombuffer(cuts, np.int64).reshape(-1, 2)
+def cut(raw: bytes, cuts: bytes | None, text: int = 0) -> tuple[bytes, int, int]:
+    """(remaining bytes, removed bytes, spans) of the text of that number."""
+    s = np.frombuffer(cuts or b"", np.int64).reshape(-1, 2)
+    s = s[s[:, 0] >> TEXT_BITS == text] & _PLACE
     keep, at = [], 0
     for a, b in s.tolist():
         keep.append(raw[at:a])
@@ -324,35 +346,44 @@ def cut(raw: bytes, cuts: bytes | None) -> tuple[bytes, int, int]:
     return b"".join(keep), int((s[:, 1] - s[:, 0]).sum()), len(s)
 
 
+@released
 def _digest(batches):
     for b in batches:
         out = {k: [] for k in _DIGEST.names}
-        for d, raw, cuts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            kept, gone, n = cut(raw, cuts)
+        for d, raw, text, cuts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            kept, gone, n = cut(raw, cuts, text)
             for k, v in zip(_DIGEST.names, (d, len(raw), gone, n, hashlib.sha256(kept).hexdigest()), strict=True):
                 out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _DIGEST], schema=_DIGEST)
 
 
-def _with_cuts(df: DataFrame, cuts: DataFrame, key) -> DataFrame:
-    width = cuts.agg(F.coalesce(F.sum(F.length("cuts") + 32), F.lit(0))).first()[0]
-    side = cuts.select(F.col("doc").alias("__q_doc"), F.col("cuts").alias("__q_cuts"))
-    return df.join(F.broadcast(side) if width <= BROADCAST_BYTES else side, key == F.col("__q_doc"), "left")
+#: Bytes of cuts that are broadcast; more are dealt by document.
+CUT_BYTES = 16 << 20
+
+
+def _with_cuts(numbered: DataFrame, cuts: DataFrame) -> DataFrame:
+    width = cuts.agg(F.coalesce(F.sum(F.length("cuts") + 96), F.lit(0))).first()[0]
+    side = cuts.select(F.col("doc").alias("__q_own"), F.col("cuts").alias("__q_cuts"))
+    return numbered.join(F.broadcast(side) if width <= CUT_BYTES else side, F.col("__q_doc") == F.col("__q_own"), "left").drop("__q_own")
 
 
 def removal_digest(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    cuts = repeated_spans(df, scratch, id_col, text_col, **options)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("raw"))
-    return _with_cuts(docs, cuts, F.col("doc_id")).select("doc_id", "raw", "__q_cuts").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    numbered = _numbered(df.select(F.col(id_col), F.col(text_col)), scratch, id_col, text_col)
+    cuts = repeated_spans(numbered, scratch, text_col, **options)
+    docs = _with_cuts(numbered, cuts).select("__q_doc", utf8(text_col).alias("raw"), "__q_text", "__q_cuts")
+    return docs.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows with their texts cut; bytes of a character cut in two are dropped with it.
     A null text stays null; all other columns stay."""
-    cuts = repeated_spans(df, scratch, id_col, text_col, **options)
+    numbered = _numbered(df, scratch, id_col, text_col)
+    cuts = repeated_spans(numbered, scratch, text_col, **options)
 
     @F.pandas_udf("string")
-    def shorter(text, spans):
-        return text.combine(spans, lambda t, s: t if t is None or s is None else cut(t.encode(), s)[0].decode("utf-8", "ignore"))
+    def shorter(text, spans, number):
+        return pd.Series([t if t is None or s is None else cut(t.encode(), s, n)[0].decode("utf-8", "ignore") for t, s, n in zip(text, spans, number, strict=True)], dtype=object)
 
-    return _with_cuts(df, cuts, F.col(id_col).cast("long")).withColumn(text_col, F.when(F.col("__q_cuts").isNull(), F.col(text_col)).otherwise(shorter(F.col(text_col), F.col("__q_cuts")))).drop("__q_doc", "__q_cuts")
+    short = F.when(F.col("__q_cuts").isNull(), F.col(text_col)).otherwise(shorter(F.col(text_col), F.col("__q_cuts"), F.col("__q_text")))
+    return _with_cuts(numbered, cuts).withColumn(text_col, short).select(df.columns)
