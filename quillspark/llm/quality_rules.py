@@ -2,14 +2,15 @@
 
 Every document is judged by rules on its own text; rule failures are added up by
 host, each host's rate is shrunk towards all hosts' by a beta prior fitted to the
-hosts' rates (method of moments), and a host whose shrunk rate of any rule passes
+hosts' rates (moments of the beta-binomial), and a host whose shrunk rate of any rule passes
 ``host_limit`` is rejected with all its documents.  Only ``base_failed`` rejects a
 document by itself.
 
 Defined cases: null text has no words and fails the base rule; a null host is no
-host and is never rejected; hosts of one document are shrunk most; with one host,
-or equal rates, the prior is flat; an empty table gives no rows; rows are kept one
-to one and other columns are not read.
+host and is never rejected; hosts of few documents are shrunk most, and where rates
+differ no more than by chance (one host, equal rates, hosts of one document) all are
+shrunk to the mean by the strongest prior; ties at the limit are kept; an empty table
+gives no rows; rows are kept one to one, repeated ones too; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_BYTES, Scratch
 
 RULES = ("base_failed", "symbol_heavy", "line_repeats", "odd_words")
 _SPACE = "[ \\\\t-\\\\r]"
@@ -51,43 +52,68 @@ def text_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("__q_t", "__q_w", "__q_l", "__q_n")
 
 
+#: Least correlation of documents of one host that the prior assumes; bounds its strength.
+LEAST_RHO = 0.001
+
+
 def host_verdicts(judged: DataFrame, host_col: str, host_limit: float) -> DataFrame:
-    """(host, host_failed) from documents with the rules' columns."""
+    """(host, host_failed) from documents with the rules' columns.
+
+    The prior of a rule is a beta distribution with the mean and the spread of the hosts' rates,
+    from which the spread that rates of so few documents have by chance is taken off: of the
+    variance v of rates around their mean m, m(1 - m) times the mean of 1/n is chance.
+    """
     hosts = judged.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host"))
     hosts = hosts.agg(F.count("*").alias("n"), *(F.sum(F.col(r).cast("long")).alias(r) for r in RULES))
     # one row for all hosts: the moments of their rates
-    moments = hosts.agg(*(f(F.col(r) / F.col("n")).alias(f"{r}_{k}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop)))).first().asDict()
-    failed = F.lit(False)
+    moments = hosts.agg(F.avg(1 / F.col("n")).alias("u"), *(f(F.col(r) / F.col("n")).alias(f"{r}_{k}") for r in RULES for k, f in (("m", F.avg), ("v", F.var_pop)))).first().asDict()
+    failed, u = F.lit(False), moments["u"] or 1.0
     for r in RULES:
         m, v = moments[f"{r}_m"] or 0.0, moments[f"{r}_v"] or 0.0
-        strength = max(m * (1 - m) / v - 1, 0.0) if v > 1e-12 else 2.0
-        a = m * strength if v > 1e-12 else 1.0
-        failed = failed | ((F.col(r) + F.lit(a)) / (F.col("n") + F.lit(strength)) > host_limit)
+        rho = (v / (m * (1 - m)) - u) / (1 - u) if 0 < m < 1 and u < 1 else 0.0
+        strength = 1 / min(max(rho, LEAST_RHO), 1.0) - 1
+        failed = failed | ((F.col(r) + F.lit(m * strength)) / (F.col("n") + F.lit(strength)) > host_limit)
     return hosts.select("host", failed.alias("host_failed"))
 
 
+def _failed_hosts(judged: DataFrame, scratch: Scratch, host_limit: float) -> DataFrame:
+    """(__q_bad, __q_salt): the failed hosts, to be joined by ``_host_key``; broadcast where small."""
+    failed = scratch.keep(host_verdicts(judged, "__q_host", host_limit).where("host_failed").select(F.col("host").alias("__q_bad"), F.lit(0).alias("__q_salt")))
+    width = failed.agg(F.coalesce(F.sum(F.octet_length(F.col("__q_bad").cast("string")) + 64), F.lit(0))).first()[0]
+    return F.broadcast(failed) if width <= BROADCAST_BYTES else failed
+
+
+def _host_key(t: DataFrame) -> DataFrame:
+    """t with a salt that spreads the rows without host, which meet no failed host."""
+    return t.withColumn("__q_spread", F.when(F.col("__q_host").isNull(), F.pmod(F.xxhash64("n_words", "word_chars"), F.lit(1024)).cast("int")).otherwise(0))
+
+
+def _meets():
+    return (F.col("__q_host") == F.col("__q_bad")) & (F.col("__q_spread") == F.col("__q_salt"))
+
+
 def quality_report(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.6) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("__q_host"))
     judged = scratch.keep(text_metrics(docs).drop("text"))
-    verdicts = host_verdicts(judged, "__q_host", host_limit)
-    out = judged.join(verdicts, F.col("__q_host") == F.col("host"), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
+    out = _host_key(judged).join(_failed_hosts(judged, scratch, host_limit), _meets(), "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("__q_bad").isNull()).alias("kept"))
 
 
 def keep_good(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.6) -> DataFrame:
-    """The rows of df that their text and their host pass."""
-    columns = df.columns
-    inner = df.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__q_row"), F.col(text_col).alias("text"), F.col(host_col).alias("__q_host"))
-    verdicts = scratch.keep(host_verdicts(text_metrics(inner).drop("text", "__q_row"), "__q_host", host_limit).where("host_failed"))
-    good = text_metrics(inner).where("not base_failed").join(verdicts, F.col("__q_host") == F.col("host"), "left_anti")
+    """The rows of df that their text and their host pass.  Rows are written once with their
+    verdicts, so that no text is judged twice."""
+    inner = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__q_row"), F.col(text_col).alias("text"), F.col(host_col).alias("__q_host"))
+    judged = scratch.keep(text_metrics(inner).select("__q_row", "__q_host", "n_words", "word_chars", *RULES))
+    good = _host_key(judged.where("not base_failed")).join(_failed_hosts(judged, scratch, host_limit), _meets(), "left_anti")
     return good.select("__q_row.*")
 
 
 def _rate(rule: str) -> str:
-    m, v = f"avg(1.0 * {rule} / n)", f"var_pop(1.0 * {rule} / n)"
-    s = f"CASE WHEN {v} > 1e-12 THEN greatest({m} * (1 - {m}) / {v} - 1, 0) ELSE 2 END"
-    return f"CASE WHEN {v} > 1e-12 THEN {m} * ({s}) ELSE 1 END AS {rule}_a, {s} AS {rule}_s"
+    m, v, u = f"avg(1.0 * {rule} / n)", f"var_pop(1.0 * {rule} / n)", "avg(1.0 / n)"
+    rho = f"CASE WHEN {m} > 0 AND {m} < 1 AND {u} < 1 THEN ({v} / ({m} * (1 - {m})) - {u}) / (1 - {u}) ELSE 0 END"
+    s = f"1 / least(greatest({rho}, {LEAST_RHO}), 1.0) - 1"
+    return f"{m} * ({s}) AS {rule}_a, {s} AS {rule}_s"
 
 
 ORACLE = rf"""

@@ -119,10 +119,11 @@ def quality_verdicts(rows, limit=0.6):
         rates = [sum(x[r] for x in v) / len(v) for v in hosts.values()]
         if not rates:
             break
-        mean = sum(rates) / len(rates)
+        mean, few = sum(rates) / len(rates), sum(1 / len(v) for v in hosts.values()) / len(hosts)
         var = sum((x - mean) ** 2 for x in rates) / len(rates)
-        s = max(mean * (1 - mean) / var - 1, 0) if var > 1e-12 else 2
-        a = mean * s if var > 1e-12 else 1
+        rho = (var / (mean * (1 - mean)) - few) / (1 - few) if 0 < mean < 1 and few < 1 else 0
+        s = 1 / min(max(rho, 0.001), 1) - 1
+        a = mean * s
         bad |= {h for h, v in hosts.items() if (sum(x[r] for x in v) + a) / (len(v) + s) > limit}
     return {d: (m, rules[0], not rules[0] and host not in bad) for d, (m, rules, host) in out.items()}
 

@@ -82,6 +82,22 @@ def test_substrings(spark, docs, none):
     assert exact_substrings.remove_repeats(none, Scratch(spark)).collect() == []
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{k}{i * 31 % 97}" for i in range(60)) for k in "abc")
+    rows = spark.createDataFrame([(1, a), (2, a), (2, c), (3, b + a)], "doc_id long, text string")
+    for hot in (0, 20_000):
+        left = sorted((r.doc_id, r.text) for r in exact_substrings.remove_repeats(rows, Scratch(spark), hot=hot).collect())
+        assert left == sorted([(1, a), (2, ""), (2, c), (3, b)])
+        digest = {(r.doc_id, r.n_removed) for r in exact_substrings.removal_digest(rows, Scratch(spark), hot=hot).collect()}
+        assert digest == {(1, 0), (2, len(a)), (2, 0), (3, len(a))}
+
+
+def test_one_failing_document_sinks_no_host_of_its_own(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = spark.createDataFrame([(i, f"{good} {'# ' * 40 if i < 20 else ''}", f"host{i}") for i in range(100)], "doc_id long, text string, source string")
+    assert all(r.kept for r in quality_rules.quality_report(rows, Scratch(spark)).collect())
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, PROSE), (2, None), (3, "x"), (None, "word1"), (3, "x")], "item_id long, text string")
     out = {r.doc_id: r for r in decontamination.contamination(docs, items).collect()}
