@@ -53,13 +53,15 @@ class Scratch:
 
     Written tables cut the lineage, so a lost executor costs the stage at hand
     and not the run.  ``drop()`` deletes them once the caller has consumed the
-    operator's result.
+    operator's result; what no one drops goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/quillspark/{uuid.uuid4().hex}"
         self._n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1

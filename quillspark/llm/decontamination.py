@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, alnum_words, bounded_batches, maybe_broadcast, utf8
+from .common import Scratch, alnum_words, bounded_batches, maybe_broadcast, released, utf8
 
 _HIT = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64()))])
 _HIT_SQL = "doc_id long, h long, n_words long, hits binary, items array<long>"
@@ -44,6 +44,7 @@ def windows_of(items: list[tuple[int, bytes]], size: int) -> dict[tuple[bytes, .
 def _frequency(shared):
     schema = pa.schema([("w", pa.int64()), ("c", pa.int64())])
 
+    @released
     def run(batches):
         vocabulary = shared.value
         known = set(vocabulary)
@@ -60,6 +61,7 @@ def _frequency(shared):
 
 
 def _match(shared):
+    @released
     def run(batches):
         vocabulary, heads, ids = shared.value
         rare = {w for w, i in vocabulary.items() if i in heads}
@@ -98,8 +100,9 @@ def _match(shared):
     return run
 
 
+@released
 def _summary(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.int64())), ("text_hash", pa.int64())])
     for b in batches:
         n_hit, n_items, digest, items = [], [], [], []
         for hits, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -112,11 +115,11 @@ def _summary(batches):
             n_items.append(len(own))
             items.append(own)
             digest.append(hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array(items, pa.list_(pa.int64())), b.column(4)], schema=schema)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) of every row."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash) of every row."""
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(utf8(text_col)).alias("h"), utf8(text_col).alias("raw"))
@@ -140,19 +143,21 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: s
             heads.setdefault(int(w[offset]), []).append((offset, w, [number[i] for i in owners]))
         parts.append(docs.mapInArrow(_match(spark.sparkContext.broadcast((vocabulary, heads, ids))), _HIT_SQL))
     if blocks == 1:
-        merged = parts[0].select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("found"))
+        merged = parts[0].select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("found"), "h")
     else:
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
         merged = union.groupBy("doc_id", "h").agg(F.first("n_words").alias("n_words"), F.collect_set("hits").alias("hits"), F.collect_set("items").alias("found"), (F.count("*") / blocks).cast("int").alias("rows"))
-        merged = merged.select("doc_id", "n_words", "hits", "found", F.explode(F.sequence(F.lit(1), "rows"))).drop("col")
-    out = merged.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<long>")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items")
+        merged = merged.select("doc_id", "n_words", "hits", "found", "h", F.explode(F.sequence(F.lit(1), "rows"))).drop("col")
+    out = merged.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<long>, text_hash long")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "text_hash")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of documents in which no window of an item occurs (by doc_id and text)."""
-    dirty = contamination(df.select(F.xxhash64(F.col(id_col), utf8(text_col)).alias("__q_key"), F.col(text_col)), benchmark, id_col="__q_key", text_col=text_col, **options)
-    dirty = scratch.keep(dirty.where("contaminated").select(F.col("doc_id").alias("__q_dirty")).distinct())
-    return df.join(maybe_broadcast(dirty, 16), F.xxhash64(F.col(id_col), utf8(text_col)) == F.col("__q_dirty"), "left_anti")
+    """The rows of documents in which no window of an item occurs.  A row is known by two
+    64-bit hashes, of its text and of its id with its text."""
+    both, own = F.xxhash64(F.col(id_col), utf8(text_col)), F.xxhash64(utf8(text_col))
+    dirty = contamination(df.select(both.alias("__q_key"), F.col(text_col)), benchmark, id_col="__q_key", text_col=text_col, **options)
+    dirty = scratch.keep(dirty.where("contaminated").select(F.col("doc_id").alias("__q_dirty"), F.col("text_hash").alias("__q_text")).distinct())
+    return df.join(maybe_broadcast(dirty, 96), (both == F.col("__q_dirty")) & (own == F.col("__q_text")), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, utf8
+from .common import bounded_batches, mix64, released, utf8
 
 CHAIN = 64
 BITS = 17
@@ -154,6 +154,7 @@ def fit(chains: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float
 def _sample_chains(n: int):
     schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string()))])
 
+    @released
     def run(batches):
         for b in batches:
             langs, out = [], []
@@ -243,6 +244,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_switches", pa.int64())])
 
+    @released
     def run(batches):
         model = shared.value
         scorer = Scorer(model) if model else None

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, alnum_words, bounded_batches, mix64, utf8
+from .common import ALNUM, alnum_words, bounded_batches, mix64, released, utf8
 from .license_templates import TEMPLATES
 
 MAX_TEMPLATE_WORDS = 1_000_000
@@ -234,6 +234,7 @@ def license_scan(df: DataFrame, templates=None, k: int = 4, window: int = 4, ban
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Index(templates or TEMPLATES, k, window, band, coverage))
 
+    @released
     def run(batches):
         index = shared.value
         get = index.vocabulary.get
