@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,30 @@ def not_yet_written(df: DataFrame, done: DataFrame, key: str = "doc_id", overwri
 
 def output_path(rel: str = "rel_path", suffix: str = "") -> F.col:
     """rel_path with a suffix before its extension."""
-    return F.regexp_replace(rel, r"(\.[^./]*)?$", f"{suffix}$1") if suffix else F.col(rel)
+    return F.regexp_replace(rel, r"(?s)^(.*?)(\.[^./]*)?$", f"$1{suffix}$2") if suffix else F.col(rel)
 
 
 def text_documents(df: DataFrame, folder: str, suffix: str = "") -> None:
-    """One text file for each row (rel_path, text) at folder/rel_path, written by Spark, one partition a path."""
+    """One text file for each row (rel_path, text) at folder/rel_path.  Spark writes the files, a
+    partition for each path; each is then renamed to its path, which moves no bytes.  Rows of one
+    path share its file."""
+    spark, staged = df.sparkSession, f"{folder.rstrip('/')}/.staged-{uuid.uuid4().hex}"
     t = df.select(output_path(suffix=suffix).alias("out"), F.col("text").alias("value"))
-    t.repartition("out").sortWithinPartitions("out").write.mode("overwrite").partitionBy("out").option("lineSep", "\n").text(folder)
+    t.repartition("out").sortWithinPartitions("out").write.partitionBy("out").option("lineSep", "\n").text(staged)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    plain_name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for part in fs.listStatus(root):
+        name = part.getPath().getName()
+        if not name.startswith("out="):
+            continue
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{plain_name(name.removeprefix('out='))}")
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        for f in fs.listStatus(part.getPath()):
+            fs.rename(f.getPath(), target)
+    fs.delete(root, True)
 
 
 def jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -80,6 +98,15 @@ def pretty_json(df: DataFrame, path: str, limit: int = 100_000) -> None:
     _write_text(df.sparkSession, path, "[\n" + ",\n".join(r.j for r in rows) + "\n]\n")
 
 
+def keyed_json(df: DataFrame, path: str, key: str, limit: int = 100_000) -> None:
+    """A report as one JSON object keyed by a column; refuses tables above ``limit`` rows."""
+    rest = F.struct(*(f"`{c}`" for c in df.columns if c != key))
+    rows = df.select(F.to_json(F.map_from_arrays(F.array(key), F.array(rest)), {"ignoreNullFields": "false"}).alias("j")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows for one JSON file; write JSON lines")
+    _write_text(df.sparkSession, path, "{\n" + ",\n".join(r.j[1:-1] for r in rows) + "\n}\n")
+
+
 def report(spark: SparkSession, path: str, values: dict, body: str = "") -> None:
     """A text report of name=value lines and a body."""
     _write_text(spark, path, "".join(f"{k}={v:.6f}\n" if isinstance(v, float) else f"{k}={v}\n" for k, v in values.items()) + body)

@@ -57,7 +57,8 @@ def test_writers(spark, tmp_path):
     writers.report(spark, str(tmp_path / "r.txt"), {"thr_sim": 0.35, "thr_margin": 0.08})
     assert readers.report_thresholds(spark, str(tmp_path / "r.txt")) == (0.35, 0.08)
     writers.text_documents(df.select(F.concat("doc_id", F.lit(".txt")).alias("rel_path"), "text"), str(tmp_path / "t"), ".clean")
-    assert len(list((tmp_path / "t").glob("out=*"))) == 2
+    assert (tmp_path / "t" / "a.clean.txt").read_text() == "x,\"1\"\n2\n" and (tmp_path / "t" / "b.clean.txt").read_text() == "\n"
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.suffix != ".crc") == ["a.clean.txt", "b.clean.txt"]
     v = spark.createDataFrame([(1, "a", [1.0, 0.0])], "vec_id long, label string, embedding array<float>")
     for _ in range(2):
         writers.append_vectors(v, str(tmp_path / "v"))
