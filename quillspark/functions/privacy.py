@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col, extract, extract_all, replaced, utrim
+from .text import col, extract, extract_all, let, replaced, utrim
 
 
 def masked_id(c) -> Column:
@@ -81,19 +81,25 @@ def birth_parts(c) -> Column:
 
 def birth_like(original, fake) -> Column:
     """The fake birth date in the format of the original one."""
-    o, p = col(original), birth_parts(fake)
+    return let(birth_parts(fake), lambda p: _birth_as(col(original), p, col(fake)))
+
+
+def _birth_as(o: Column, p: Column, fake: Column) -> Column:
     y, m, d = p["y"], p["m"], p["d"]
     roc = y - 1911
     out = F.when(o.contains("民國") & o.contains("年") & o.contains("月"), F.format_string("民國%d年%d月%d日", roc, m, d))
     for sep, pattern in (("/", "/"), ("-", "-"), (".", r"\.")):
         out = out.when(o.rlike(rf"^\d{{2,3}}{pattern}\d{{1,2}}{pattern}\d{{1,2}}$"), F.format_string(f"%d{sep}%d{sep}%d", roc, m, d))
         out = out.when(o.rlike(rf"^\d{{4}}{pattern}\d{{1,2}}{pattern}\d{{1,2}}$"), F.format_string(f"%d{sep}%02d{sep}%02d", y, m, d))
-    return out.when(o.contains("年") & o.contains("月") & o.contains("日"), F.format_string("%d年%d月%d日", y, m, d)).otherwise(col(fake))
+    return out.when(o.contains("年") & o.contains("月") & o.contains("日"), F.format_string("%d年%d月%d日", y, m, d)).otherwise(fake)
 
 
 def spoken_birth_like(original, fake) -> Column:
     """ROC form; month and day are padded where the original pads them; six digits stay six or seven."""
-    o, p = col(original), birth_parts(fake)
+    return let(birth_parts(fake), lambda p: _spoken_as(col(original), p))
+
+
+def _spoken_as(o: Column, p: Column) -> Column:
     roc, m, d = p["y"] - 1911, p["m"], p["d"]
     pad = lambda i: F.length(extract(o, r"(\d{1,2})月(\d{1,2})", i)) == 2
     month = F.when(pad(1), F.format_string("%02d", m)).otherwise(m.cast("string"))

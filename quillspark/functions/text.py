@@ -53,11 +53,11 @@ def extract_all(c, pattern: str, group: int) -> Column:
 
 def utrim(c) -> Column:
     """Trim of all Unicode white space."""
-    return replaced(c, [(f"^{_WS}+|{_WS}+$", "")])
+    return F.btrim(col(c), F.lit(fixed.SPACES))
 
 
 def rtrim(c) -> Column:
-    return replaced(c, [(f"{_WS}+$", "")])
+    return F.rtrim(col(c), F.lit(fixed.SPACES))
 
 
 def collapse_key(c) -> Column:

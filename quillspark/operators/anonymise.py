@@ -96,14 +96,19 @@ def assign_round_robin(df: DataFrame, profiles: DataFrame, order: str, most: int
     return _assigned(numbered(df, order, out="__q_at"), profiles, most)
 
 
+def _hashed(key: str, seed: int):
+    """A draw of 60 bits, as any engine with MD5 makes it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def assign_hashed(df: DataFrame, profiles: DataFrame, key: str, seed: int = 42, most: int = 100_000) -> DataFrame:
     """A stand-in drawn by a hash of the key: the same on every run, in any order."""
-    return _assigned(df.withColumn("__q_at", F.xxhash64(F.lit(seed), F.col(key))), profiles, most)
+    return _assigned(df.withColumn("__q_at", _hashed(key, seed)), profiles, most)
 
 
 def drawn(pool: str, key: str, seed: int = 42):
     """An element of an array column, drawn by a hash of the key."""
-    return F.element_at(pool, (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.size(pool)) + 1).cast("int"))
+    return F.element_at(pool, (F.pmod(_hashed(key, seed), F.size(pool)) + 1).cast("int"))
 
 
 def candidates_pii(lines: DataFrame) -> DataFrame:

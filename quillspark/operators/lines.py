@@ -58,6 +58,18 @@ def drop_repeated_short_lines(lines: DataFrame, least_lines: int = 40, repeats:
     return t.join(bad.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id", "line_no", "line")
 
 
+def without_repeated_short_lines(ls: Column, least_lines: int = 40, repeats: int = 2, longest: int = 30, keep=tuple(fixed.KEEP_WORDS)) -> Column:
+    """Array of (line_no, line) of an array of lines, as ``drop_repeated_short_lines`` leaves them; a
+    document is judged inside its row, so nothing is shuffled."""
+    short = lambda key: (key != "") & (F.length(key) < longest) & ~text.contains_any(key, keep)
+    ordered = lambda keys: F.array_sort(F.filter(keys, short))
+    often = lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - (repeats - 1)) == x, F.lit(False))))
+    numbered = F.transform(ls, lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    left = lambda bad: F.filter(numbered, lambda x: ~F.array_contains(bad, text.utrim(x["line"])))
+    judged = text.let(ordered(F.transform(ls, text.utrim)), lambda s: text.let(often(s), left))
+    return F.when(F.size(ls) < least_lines, numbered).otherwise(judged)
+
+
 def resolve_phone_fragments(lines: DataFrame, phone: Column) -> DataFrame:
     """A run of tagged lines becomes one line with ``phone`` behind its prefix; blank lines go."""
     tagged = F.contains("line", F.lit("[PHONE_FRAGMENT:"))

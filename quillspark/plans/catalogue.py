@@ -318,7 +318,8 @@ def line_filter_keep_ban(spark, d):
 @query(f"""WITH {_LINES}, s AS (SELECT *, trim(line, {_WSQ}) key FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) copies, count(*) OVER (PARTITION BY doc_id) n FROM s)
 SELECT doc_id, line_no, line FROM c WHERE NOT (n >= 40 AND copies >= 2 AND key <> '' AND length(key) < 30 AND NOT regexp_matches(key, {_q('|'.join(fixed.KEEP_WORDS))}))""")
 def line_repeat_header_footer(spark, d):
-    return lines.drop_repeated_short_lines(_lines(spark, d))
+    t = table(spark, d, "documents").where(F.length("text") > 0)
+    return t.select("doc_id", F.inline(text.let(text.lines("text"), lambda ls: lines.without_repeated_short_lines(ls))))
 
 
 _HEAD_SQL = _q(fixed.PARAGRAPH_HEAD)
@@ -422,7 +423,14 @@ def control_scrub(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.scrubbed("text")).alias("text_md5"))
 
 
-@query()
+def _corrected_sql(c: str) -> str:
+    for a, b in [*fixed.CORRECTIONS, ("\r\n", "\n"), ("\r", "\n")]:
+        c = f"replace({c}, {_q(a)}, {_q(b)})"
+    kept = f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x, {_WSQ})), lambda x: NOT regexp_matches(x, {_q(fixed.SEPARATOR_LINE)}))"
+    return rf"array_to_string(list_transform({kept}, lambda x: regexp_replace(x, '^\(?\d{{1,3}}\)?[\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+', '')), chr(10))"
+
+
+@query(f"SELECT doc_id, md5({_corrected_sql('text')}) AS text_md5 FROM (SELECT doc_id, replace(text, '主旨', '王旨') AS text FROM {values('zh_letters')} UNION ALL SELECT doc_id, text FROM documents)")
 def lexical_correction(spark, d):
     t = frame(spark, "zh_letters").select("doc_id", F.replace("text", F.lit("主旨"), F.lit("王旨")).alias("text"))
     return t.unionByName(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(text.corrected("text")).alias("text_md5"))
@@ -447,8 +455,10 @@ s AS (SELECT doc_id, pi, unnest(ss) s, generate_subscripts(ss, 1) si FROM (SELEC
 m AS (SELECT doc_id, pi, si, CASE WHEN NOT regexp_matches(trim(s, {_WSQ}), '[.!?]["'')]*$') AND length(trim(s, {_WSQ})) >= 25 THEN trim(s, {_WSQ}) || '.' ELSE trim(s, {_WSQ}) END s FROM s)
 SELECT doc_id, count(*) AS n_sentences, md5(string_agg(s, chr(10) ORDER BY pi, si)) AS text_md5 FROM m WHERE trim(regexp_replace(s, '\p{{P}}+', '', 'g'), {_WSQ}) <> '' GROUP BY doc_id""")
 def sentence_split(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", text.sentences("text", _EN_END, "\"')", ".").alias("s")).where(F.size("s") > 0)
-    return t.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("text_md5"))
+    counted = lambda s: F.struct(F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "\n")).alias("text_md5"))
+    one = F.array(text.let(text.sentences("text", _EN_END, "\"')", "."), counted))
+    # filtered inside the row: a pushed filter would split the text again
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.inline(F.filter(one, lambda x: x["n_sentences"] > 0)))
 
 
 @query(f"""WITH {_ZH}, d AS (SELECT *, regexp_matches(line, {_q(fixed.SECTION_HEAD)}) OR regexp_matches(line, '[。！？；!?]$') AS done FROM z)
@@ -681,7 +691,10 @@ def pii_anonymise_round_robin(spark, d):
     return anonymise.assign_round_robin(table(spark, d, "documents").select("doc_id"), p, "doc_id").select("doc_id", "profile.name", "profile.email")
 
 
-@query()
+_HASHED = "CAST('0x' || substr(md5('42:' || doc_id), 1, 15) AS BIGINT)"
+
+
+@query(f"WITH {_PROFILE_SQL} SELECT doc_id, name, ['a', 'b', 'c'][{_HASHED} % 3 + 1] AS pool_draw FROM documents JOIN p ON profile_idx = {_HASHED} % 4")
 def pii_hash_assign(spark, d):
     p = anonymise.profile_dimension(frame(spark, "profiles"))
     t = anonymise.assign_hashed(table(spark, d, "documents").select("doc_id"), p, "doc_id")
@@ -758,7 +771,15 @@ def twid_checksum(spark, d):
     return frame(spark, "twids").select("id", privacy.valid_id("id").alias("valid"))
 
 
-@query()
+_LIKE = "".join(rf"WHEN regexp_matches(original, '^\d{{2,3}}[{s}]\d{{1,2}}[{s}]\d{{1,2}}$') THEN printf('%d{s}%d{s}%d', y - 1911, m, d) WHEN regexp_matches(original, '^\d{{4}}[{s}]\d{{1,2}}[{s}]\d{{1,2}}$') THEN printf('%d{s}%02d{s}%02d', y, m, d) " for s in "/-.")
+_PADDED = "CASE WHEN length(regexp_extract(original, '(\\d{{1,2}})月(\\d{{1,2}})', {0})) = 2 THEN printf('%02d', {1}) ELSE CAST({1} AS VARCHAR) END".replace("\\\\", "\\")
+
+
+@query(rf"""WITH n AS (SELECT row_no, original, fake, trim(fake) AS f, regexp_extract_all(fake, '\d+') AS n FROM {values('births')}),
+p AS (SELECT *, CASE WHEN regexp_matches(f, '^\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}$') THEN CAST(n[1] AS INT) WHEN regexp_matches(f, '^(民國\d{{2,3}}年\d{{1,2}}月\d{{1,2}}日|\d{{2,3}}[-/.]\d{{1,2}}[-/.]\d{{1,2}})$') THEN CAST(n[1] AS INT) + 1911 END AS y, CAST(n[2] AS INT) AS m, CAST(n[3] AS INT) AS d FROM n),
+t AS (SELECT *, (y - 1911) || '年' || {_PADDED.format(1, 'm')} || '月' || {_PADDED.format(2, 'd')} AS said FROM p)
+SELECT row_no, CASE WHEN contains(original, '民國') AND contains(original, '年') AND contains(original, '月') THEN printf('民國%d年%d月%d日', y - 1911, m, d) {_LIKE} WHEN contains(original, '年') AND contains(original, '月') AND contains(original, '日') THEN printf('%d年%d月%d日', y, m, d) ELSE fake END AS out,
+CASE WHEN regexp_matches(original, '^民國\d{{2,3}}年') THEN '民國' || said WHEN regexp_matches(original, '^\d{{2,3}}年') THEN said WHEN regexp_matches(original, '^\d{{6,7}}$') THEN printf('%02d%02d%02d', y - 1911, m, d) ELSE original END AS spoken FROM t""")
 def birth_date_formats(spark, d):
     return frame(spark, "births").select("row_no", privacy.birth_like("original", F.col("fake")).alias("out"), privacy.spoken_birth_like("original", F.col("fake")).alias("spoken"))
 
