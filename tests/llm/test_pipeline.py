@@ -27,3 +27,16 @@ def test_pipeline(spark):
         got[r.doc_id] += r.n_tokens
     assert dict(got) == want and 0 < len(want) < len(docs)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "packing"]
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and ids, clashing columns, no n_chars, no rows."""
+    from pyspark.sql import functions as F
+
+    good = " ".join(f"word{i} and thing{i * 7 % 31}" for i in range(40))
+    other = " ".join(f"name{i} or place{i * 5 % 29}" for i in range(40))
+    rows = [(1, None, None), (2, "", "a"), (3, " \n\t", "a"), (4, good, "a"), (4, good, "a"), (5, good, None), (None, other, "b"), (6, other, "b"), (7, other + " tail", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(F.lit(f"x_{c}").alias(c) for c in ("raw", "doc", "h1", "host", "n_words", "kept", "cuts")))
+    out = corpus_pipeline.over(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id or 0, r.first_token) for r in out) == [(0, 0), (4, 0), (6, 0)]
+    assert corpus_pipeline.over(spark, docs.limit(0), SMALL).collect() == []
