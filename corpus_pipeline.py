@@ -6,7 +6,7 @@ its own and drops it when the stage's rows are written.  A stage called by itsel
 what its predecessor over the same sf_dir left, whose rows are written by then.
 
 Defined cases: null, empty and wordless texts fail the quality rules; of repeated rows
-one stays; an empty table gives no rows; extra columns pass through all stages but the
+one stays; a row without doc_id passes both dedups as it is; an empty table gives no rows; extra columns pass through all stages but the
 last, which returns sequences; n_chars, where there is such a column, follows the text.
 """
 
