@@ -11,7 +11,10 @@ each giving at most ``train_chains`` chains; chains of several documents are joi
 piecewise, so that switches inside a chain are seen in training.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; with no
-labelled rows every text is ``und``; rows are kept one to one.
+labelled rows every text is ``und``; of equal means the first label by name is taken;
+rows are kept one to one, repeated ones too; a text of any length is scored whole, a
+bounded number of chains at a time; an empty table gives no rows; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -177,7 +180,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     cut = rows.select(F.xxhash64("id", "h").alias("k")).orderBy("k").limit(train_docs).agg(F.max("k")).first()[0]
     if cut is None:
         return None
-    sample = rows.where(F.xxhash64("id", "h") <= cut).select("lang", "raw").mapInArrow(_sample_chains(train_chains), "lang string, words array<string>").collect()
+    # rows that repeat an id and its text count once, so no more than ``train_docs`` are gathered
+    once = rows.where(F.xxhash64("id", "h") <= cut).groupBy(F.xxhash64("id", "h")).agg(F.min(F.struct("lang", "raw")).alias("r"))
+    sample = once.select("r.lang", "r.raw").mapInArrow(_sample_chains(train_chains), "lang string, words array<string>").collect()
     parts = sorted((r.lang, r.words) for r in sample if r.words)
     rng = np.random.Generator(np.random.PCG64(5))
     order = rng.permutation(len(parts))

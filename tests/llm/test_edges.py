@@ -40,6 +40,9 @@ def test_language_id(docs, none):
     out = language_id.predict(docs, model).collect()
     assert len(out) == len(ROWS) and all((r.lang_pred, r.score) == ("und", 0) for r in out if r.doc_id in (1, 2, 3))
     assert language_id.train(none) is None
+    assert language_id.predict(none, model).collect() == []
+    many = docs.where("doc_id = 4").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(200))))
+    assert language_id.train(many, train_docs=5).labels == ["en"]
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
