@@ -30,7 +30,9 @@ from .pretokens import Table, distinct_pieces, pieces
 def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", sample_docs: int = 1024, sample_bytes: int = 16384, table: int = 32768) -> dict[bytes, int]:
     """Pre-token -> its number of tokens, for the most frequent of the sample."""
     raw = utf8(text_col)
-    sample = df.select(raw.alias("raw"), F.xxhash64(raw).alias("h")).where(f"length(raw) between 1 and {sample_bytes}").orderBy("h").limit(sample_docs).select("raw").collect()
+    rows = df.select(raw.alias("raw"), F.xxhash64(raw).alias("h")).where(f"length(raw) between 1 and {sample_bytes}")
+    cut = rows.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]  # hashes alone go round
+    sample = [] if cut is None else rows.where(F.col("h") <= cut).groupBy("h").agg(F.min("raw").alias("raw")).select("raw").collect()
     p, seen = pieces(path), Counter()
     texts = [t for r in sample if (t := p.plain(bytes(r[0]))) is not None]
     if texts:
