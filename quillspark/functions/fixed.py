@@ -33,11 +33,11 @@ KEEP_LINE = [
     r"(電話|聯絡方式|傳真|承辦人)\s*[:：]",
     r"(案號|字號|字第)\s*[:：]?",
     r"(執行命令|扣押命令|撤銷令|收取令|通知函)",
-    r"(?:^|[^0-9A-Za-z_])[0-9]{2,3}[./-][0-9]{1,2}[./-][0-9]{1,2}(?:$|[^0-9A-Za-z_])",
+    r"(?:^|[^\p{L}\p{N}_])[0-9]{2,3}[./-][0-9]{1,2}[./-][0-9]{1,2}(?:$|[^\p{L}\p{N}_])",
     r"(?:中華民國)?\s*[0-9]{3,4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日",
     r"(?:司執|家執|保字|金管)\S*第?\s*\d+\s*號",
     r"字第\s*\d+\s*號",
-    r"(?:^|[^0-9A-Za-z_])[A-Z][12]\d{8}(?:$|[^0-9A-Za-z_])",
+    r"(?:^|[^\p{L}\p{N}_])[A-Z][12]\d{8}(?:$|[^\p{L}\p{N}_])",
 ]
 PAGE_LINE = [
     r"^第\s*\d+\s*頁(?:\s*/\s*共\s*\d+\s*頁)?\s*$",
@@ -210,7 +210,7 @@ ADDRESS = (
 )
 NAME_AFTER = r"(?:我是|我叫|姓名是|名字是|請問您是)([一-鿿]{2,4})"
 NAME_BEFORE = r"([一-鿿]{2,4})(?:先生|小姐|女士|太太)"
-LINE_ID = r"(?:^|(?<=[^0-9A-Za-z_]))[A-Z][12]\d{8}(?=$|[^0-9A-Za-z_])"
+LINE_ID = r"(?:^|(?<=[^\p{L}\p{N}_]))[A-Z][12]\d{8}(?=$|[^\p{L}\p{N}_])"
 LINE_BIRTHDAY = r"(?:民國\s*)?\d{2,4}\s*[年/\-]\s*\d{1,2}\s*[月/\-]\s*\d{1,2}\s*[日]?"
 LINE_PHONE = r"0[2-9]\d[\s\-]?\d{3,4}[\s\-]?\d{3,4}"
 MASKABLE_ID = r"^[A-Z][0-9]{9}$"

@@ -37,6 +37,8 @@ def one(spark, value, f):
     (numbers.model_family, "qwen2.5:3b", "qwen2.5"), (numbers.model_family, "Llama3:8B", "llama3"), (numbers.safe_double, "x", None),
     (privacy.masked_id, "A123456789", "A123****89"), (privacy.masked_policy, "AB12345678", "AB1*****78"), (privacy.masked_policy, "AB12", "AB12"),
     (privacy.redacted_name, "王小明", "王○明"), (privacy.redacted_name, "歐陽小明", "歐○○明"), (privacy.redacted_name, "王", "○"),
+    (lambda c: text.must_keep(c, F.lit(99)), "字A123456789", False), (lambda c: text.must_keep(c, F.lit(99)), "號 A123456789，", True),
+    (lambda c: text.must_keep(c, F.lit(99)), "自114.01.02起", False), (lambda c: text.must_keep(c, F.lit(99)), "自 114.01.02 起", True),
     (privacy.valid_id, "A123456789", True), (privacy.valid_id, "A123456788", False), (privacy.valid_id, "a123456789", False),
     (privacy.mobile, "+886912000111", "0912000111"), (privacy.mobile, "02-1234", "02-1234"),
     (privacy.phone_fragment, "R: 09 12", "R: [PHONE_FRAGMENT:0912]"), (privacy.phone_fragment, "R: 1234567", "R: 1234567"),
