@@ -16,6 +16,12 @@ try:
 except (AttributeError, OSError):  # other C libraries
     _trim = None
 
+#: Largest row group of an intermediate table; a writing task holds one uncompressed.
+GROUP_BYTES = 16 << 20
+
+#: Most shuffled bytes that adaptive execution merges into one task of an operator.
+TASK_BYTES = 16 << 20
+
 #: Largest side, in bytes, that an operator may broadcast; beyond it sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
@@ -66,7 +72,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
@@ -76,7 +82,11 @@ class Scratch:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches small enough for texts of any length."""
+    """Arrow batches small enough for texts of any length, and tasks that read at most
+    ``TASK_BYTES`` of merged shuffle partitions, or what the session says if that is less."""
+    merged = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(merged)) > TASK_BYTES:
+        spark.conf.set(merged, TASK_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
@@ -115,7 +125,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word, kept for words seen before; emptied when it grows large."""
 
-    LIMIT = 250_000
+    LIMIT = 65_536
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

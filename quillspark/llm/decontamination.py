@@ -100,8 +100,10 @@ def _match(shared):
     return run
 
 
-@released
-def _summary(batches):
+_SUM_SQL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<long>, text_hash long"
+
+
+def _summed(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("items", pa.list_(pa.int64())), ("text_hash", pa.int64())])
     for b in batches:
         n_hit, n_items, digest, items = [], [], [], []
@@ -118,6 +120,23 @@ def _summary(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array(items, pa.list_(pa.int64())), b.column(4)], schema=schema)
 
 
+_summary = released(_summed)
+
+
+def _match_and_sum(shared):
+    """``_match`` and ``_summary`` in one worker, for a benchmark of one block."""
+    match = _match(shared)
+
+    def each(x):
+        return pa.ListArray.from_arrays(pa.array(range(len(x) + 1), pa.int32()), x)
+
+    def run(batches):
+        for doc, h, n, hits, found in map(pa.RecordBatch.itercolumns, match(batches)):
+            yield from _summed([pa.RecordBatch.from_arrays([doc, n, each(hits), each(found), h], ["doc_id", "n_words", "hits", "found", "h"])])
+
+    return run
+
+
 def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash) of every row."""
     spark = df.sparkSession
@@ -141,16 +160,17 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, id_col: s
             w = np.array([vocabulary[x] for x in window], np.int64)
             offset = min(range(len(w)), key=lambda i: (often.get(int(w[i]), 0), w[i]))
             heads.setdefault(int(w[offset]), []).append((offset, w, [number[i] for i in owners]))
-        parts.append(docs.mapInArrow(_match(spark.sparkContext.broadcast((vocabulary, heads, ids))), _HIT_SQL))
+        windows = spark.sparkContext.broadcast((vocabulary, heads, ids))
+        parts.append(docs.mapInArrow(_match_and_sum(windows), _SUM_SQL) if blocks == 1 else docs.mapInArrow(_match(windows), _HIT_SQL))
     if blocks == 1:
-        merged = parts[0].select("doc_id", "n_words", F.array("hits").alias("hits"), F.array("items").alias("found"), "h")
+        out = parts[0]
     else:
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
         merged = union.groupBy("doc_id", "h").agg(F.first("n_words").alias("n_words"), F.collect_set("hits").alias("hits"), F.collect_set("items").alias("found"), (F.count("*") / blocks).cast("int").alias("rows"))
         merged = merged.select("doc_id", "n_words", "hits", "found", "h", F.explode(F.sequence(F.lit(1), "rows"))).drop("col")
-    out = merged.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<long>, text_hash long")
+        out = merged.mapInArrow(_summary, _SUM_SQL)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "items", "text_hash")
 
 

@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         y = own.select(F.col("rep").alias("v"), F.col("h1").alias("hb"), F.col("shingles").alias("y"))
         return scratch.keep(pairs.join(y, ["v", "hb"]).join(x, ["u", "ha"]).select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
 
-    final = spark.createDataFrame([], "node long, component long")
+    final = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
 
     def with_component(t: DataFrame) -> DataFrame:
         return t.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
