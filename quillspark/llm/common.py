@@ -88,7 +88,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(merged)) > TASK_BYTES:
         spark.conf.set(merged, TASK_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
 def utf8(column: str = "text") -> Column:

@@ -234,6 +234,10 @@ def cover_sort(bodies: list[bytes], leads: np.ndarray) -> tuple[np.ndarray, np.n
     return w, out
 
 
+#: Bytes of open runs, whole routes, that are sorted at once; the sort holds several arrays of 8 bytes for each.
+FLUSH_BYTES = 1 << 18
+
+
 @released
 def _settle(batches):
     """Open runs sorted by (route, doc, at) -> windows that occurred earlier, as spans."""
@@ -264,7 +268,7 @@ def _settle(batches):
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(5)]
         for r, d, p, lead, body in zip(*cols, strict=True):
-            if r != route and size > 1 << 20:
+            if r != route and size > FLUSH_BYTES:
                 yield from flush(rows)
                 rows, size = [], 0
             route = r

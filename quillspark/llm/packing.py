@@ -92,7 +92,9 @@ def pack(df: DataFrame, path: str, scratch: Scratch, max_len: int = 2048, bucket
         at = 0 if b != last else at
         offsets.append((b, s, at))
         at, last = at + c, b
-    table = spark.createDataFrame(offsets, "bucket_len long, __q_shard int, __q_offset long")
+    # by way of Arrow: rows of Python objects would go through a pool of workers of their own
+    kinds = {"bucket_len": pa.int64(), "__q_shard": pa.int32(), "__q_offset": pa.int64()}
+    table = spark.createDataFrame(pa.table([pa.array([x[i] for x in offsets], t) for i, t in enumerate(kinds.values())], list(kinds)))
     ranked = pieces.where("n_tokens > 0").selectExpr("*", "row_number() over (partition by bucket_len, __q_shard order by __q_h, doc_id, piece, first_token) - 1 as __q_rank")
     ranked = ranked.join(F.broadcast(table), ["bucket_len", "__q_shard"])
     per_batch = F.greatest(F.lit(1).cast("long"), F.expr(f"{budget} div bucket_len"))
