@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """df with ``weight``: rows / (classes * rows of the class)."""
+def class_weights(df: DataFrame, label: str, most: int = 100_000) -> DataFrame:
+    """df with ``weight``: rows / (classes * rows of the class); up to ``most`` classes are broadcast."""
     sizes = df.groupBy(label).agg(F.count("*").alias("__q_n"))
     total = sizes.agg(F.sum("__q_n").alias("n"), F.count("*").alias("k")).first()
-    return df.join(F.broadcast(sizes), label).withColumn("weight", F.lit(float(total.n or 0)) / (F.col("__q_n") * total.k)).drop("__q_n")
+    side = F.broadcast(sizes) if total.k <= most else sizes
+    return df.join(side, label).withColumn("weight", F.lit(float(total.n or 0)) / (F.col("__q_n") * total.k)).drop("__q_n")
 
 
 class LinearClassifier:

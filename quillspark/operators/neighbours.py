@@ -1,57 +1,78 @@
 """Exact top-k neighbours of a stated query set, votes and decisions.
 
-Queries go out in blocks of a fixed size; every task multiplies its rows with a block and
-keeps k rows for each query, so what is shuffled is k rows a query and task.  No pair of
-rows is ever materialised.
+Queries go out in passes of bounded bytes, each pass one scan of the index; every task
+multiplies blocks of its rows with blocks of the pass and keeps k rows for each query, so what
+is shuffled is k rows a query and task.  No pair of rows is ever materialised.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NEAR = pa.schema([("q", pa.int64()), ("nb", pa.int64()), ("label", pa.int32()), ("sim", pa.float64())])
 
 
-def _block(ids: np.ndarray, vectors: np.ndarray, k: int):
+_QUERIES, _ROWS = 4096, 1024  # a product holds 32 MB
+
+
+def _vectors(column) -> np.ndarray:
+    """Rows of one length as a matrix, from the values' buffer."""
+    if pc.count_distinct(column.value_lengths()).as_py() > 1:
+        raise ValueError("vectors differ in length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _closest(best: list[np.ndarray], ids, vectors, nb, labels, rows, k: int) -> list[np.ndarray]:
+    """(query, row, label, similarity) of the k best so far for each query, with these rows seen too."""
+    sims = vectors @ rows.T
+    sims[(ids[:, None] == nb[None, :]) | ~np.isfinite(sims)] = -np.inf
+    m = min(k, len(nb))
+    # rows that tie with the k-th stay until the merge decides by id
+    cut = -np.partition(-sims, m - 1, axis=1)[:, m - 1]
+    q, j = np.nonzero((sims >= cut[:, None]) & np.isfinite(sims))
+    best = [np.concatenate(x) for x in zip(best, (ids[q], nb[j], labels[j], sims[q, j]), strict=True)]
+    order = np.lexsort((best[1], -best[3], best[0]))
+    best = [x[order] for x in best]
+    keep = np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) < k
+    return [x[keep] for x in best]
+
+
+def _pass(ids: np.ndarray, vectors: np.ndarray, k: int):
     def run(batches):
-        best = [np.empty(0) for _ in range(4)]
+        starts = range(0, len(ids), _QUERIES)
+        best = [[np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.float64)] for _ in starts]
         for b in batches:
             if not b.num_rows:
                 continue
-            nb = b.column(0).to_numpy()
-            lab = b.column(1).to_numpy(zero_copy_only=False)
-            rows = np.array(b.column(2).to_pylist(), np.float64)
-            sims = vectors @ rows.T
-            sims[ids[:, None] == nb[None, :]] = -np.inf
-            m = min(k, len(nb))
-            # rows that tie with the k-th stay until the merge decides by id
-            cut = -np.partition(-sims, m - 1, axis=1)[:, m - 1]
-            q, j = np.nonzero((sims >= cut[:, None]) & np.isfinite(sims))
-            best = [np.concatenate(x) for x in zip(best, (ids[q], nb[j], lab[j], sims[q, j]), strict=True)]
-            o = np.lexsort((best[1], -best[3], best[0]))
-            best = [x[o] for x in best]
-            first = np.searchsorted(best[0], best[0])
-            keep = np.arange(len(o)) - first < k
-            best = [x[keep] for x in best]
-        yield pa.RecordBatch.from_arrays([pa.array(best[0].astype(np.int64)), pa.array(best[1].astype(np.int64)), pa.array(best[2].astype(np.int32)), pa.array(best[3].astype(np.float64))], schema=_NEAR)
+            nb, labels, rows = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), _vectors(b.column(2))
+            for at in range(0, len(nb), _ROWS):
+                part = slice(at, at + _ROWS)
+                for i, start in enumerate(starts):
+                    asked = slice(start, start + _QUERIES)
+                    best[i] = _closest(best[i], ids[asked], vectors[asked], nb[part], labels[part], rows[part], k)
+        for found in best:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_NEAR)
 
     return run
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int = 5, pass_bytes: int = 64 << 20) -> DataFrame:
     """(q, nb, label, sim, rank): the k index rows of greatest inner product, other than the query
-    itself, for queries and index rows (vec_id, label, embedding).  Ties go to the smaller id."""
+    itself, for queries and index rows (vec_id, label, embedding).  Ties go to the smaller id.  The
+    driver holds about ``pass_bytes`` of query vectors at a time; the index is read once a pass."""
     rows = index.where("embedding is not null").select(F.col("vec_id").cast("long"), F.coalesce(F.col("label").cast("int"), F.lit(-1)), F.col("embedding").cast("array<double>"))
     wanted = queries.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-wanted.count() // block))
+    passes = max(1, -(-(wanted.agg(F.sum(F.size("embedding") * F.lit(8).cast("long"))).first()[0] or 0) // pass_bytes))
     parts = []
-    for i in range(blocks):  # a block holds about ``block`` vectors, whatever the table's size
-        held = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
-        if held:
-            parts.append(rows.mapInArrow(_block(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64), k), "q long, nb long, label int, sim double"))
+    for i in range(passes):  # a pass holds about ``pass_bytes``, whatever the table's size
+        held = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).toArrow()
+        if held.num_rows:
+            ids, vectors = held["vec_id"].to_numpy(), _vectors(held["embedding"].combine_chunks())
+            parts.append(rows.mapInArrow(_pass(ids, vectors, k), "q long, nb long, label int, sim double"))
     if not parts:
         return index.sparkSession.createDataFrame([], "q long, nb long, label int, sim double, rank int")
     found = parts[0]
@@ -66,7 +87,7 @@ def votes(near: DataFrame, prior: DataFrame | None = None, bonus: DataFrame | No
     them, with a max_sim of -1e9 for labels that no neighbour has."""
     v = near.groupBy("q", "label").agg(F.sum("sim").alias("votes"), F.max("sim").alias("max_sim"))
     if prior is not None:
-        v = v.join(F.broadcast(prior), "label", "left").withColumn("votes", F.col("votes") * F.coalesce("weight", F.lit(1.0))).drop("weight")
+        v = v.join(prior, "label", "left").withColumn("votes", F.col("votes") * F.coalesce("weight", F.lit(1.0))).drop("weight")
     if bonus is not None:
         more = bonus.select("q", "label", F.col("delta").alias("votes"), F.lit(-1e9).alias("max_sim"))
         v = v.select("q", "label", "votes", "max_sim").unionByName(more).groupBy("q", "label").agg(F.sum("votes").alias("votes"), F.max("max_sim").alias("max_sim"))
@@ -93,7 +114,7 @@ def decided(mode: str = "sim_margin", sim: Column | float = 0.35, margin: Column
 def with_thresholds(feats: DataFrame, per_class: DataFrame, sim: float = 0.35, margin: float = 0.08) -> DataFrame:
     """Features with (ts, tm) of their label from per_class(label, sim, margin), else the global ones."""
     t = per_class.select(F.col("label").alias("top1"), F.col("sim").alias("ts"), F.col("margin").alias("tm"))
-    return feats.join(F.broadcast(t), "top1", "left").withColumn("ts", F.coalesce("ts", F.lit(sim))).withColumn("tm", F.coalesce("tm", F.lit(margin)))
+    return feats.join(t, "top1", "left").withColumn("ts", F.coalesce("ts", F.lit(sim))).withColumn("tm", F.coalesce("tm", F.lit(margin)))
 
 
 def sweep(feats: DataFrame, sims: list[float], margins: list[float], other=-1) -> DataFrame:

@@ -9,11 +9,13 @@ from ..functions.text import extract
 from .ranking import numbered
 
 
-def _drawn(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """Row numbers within each label along a hash; hot labels are numbered shard by shard."""
+def _drawn(df: DataFrame, label: str, key: str, seed: int, most: int = 100_000) -> DataFrame:
+    """Row numbers within each label along a hash; hot labels are numbered shard by shard.  Sizes of
+    more than ``most`` labels are not broadcast."""
     t = numbered(df.withColumn("__q_draw", F.xxhash64(F.lit(seed), F.col(key))), "__q_draw", [label], "__q_no")
     sizes = df.groupBy(label).agg(F.count("*").alias("__q_size"))
-    return t.join(F.broadcast(sizes), label).drop("__q_draw")
+    side = F.broadcast(sizes) if sizes.count() <= most else sizes
+    return t.join(side, label).drop("__q_draw")
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", seed: int = 42, held: float = 0.3) -> DataFrame:
