@@ -79,8 +79,10 @@ def birth_parts(c) -> Column:
     return F.coalesce(*out)
 
 
-def birth_like(original, fake) -> Column:
-    """The fake birth date in the format of the original one."""
+def birth_like(original, fake, parts=None) -> Column:
+    """The fake birth date in the format of the original one; ``parts`` as ``birth_parts(fake)`` has them."""
+    if parts is not None:
+        return _birth_as(col(original), col(parts), col(fake))
     return let(birth_parts(fake), lambda p: _birth_as(col(original), p, col(fake)))
 
 
@@ -108,13 +110,15 @@ def _spoken_as(o: Column, p: Column) -> Column:
     return F.when(o.rlike(r"^民國\d{2,3}年"), F.concat(F.lit("民國"), text)).when(o.rlike(r"^\d{2,3}年"), text).when(o.rlike(r"^\d{6,7}$"), F.format_string("%02d%02d%02d", roc, m, d)).otherwise(o)
 
 
-def replacement(kind, value, profile: str = "profile") -> Column:
-    """What stands for a found value of a kind; unknown kinds keep their value."""
+def replacement(kind, value, profile: str = "profile", parts=None) -> Column:
+    """What stands for a found value of a kind; unknown kinds keep their value.  Inside a lambda whose
+    result goes to a Python function give the profile's ``birth_parts``: Spark does not extract a
+    Python function with a lambda inside a lambda among its arguments."""
     kind = col(kind)
     p = lambda f: F.col(f"{profile}.{f}")
     return (
         F.when(kind == "email", p("email")).when(kind == "mobile", p("mobile")).when(kind == "id_number", id_key(p("id_number")))
-        .when(kind == "birth_date", birth_like(value, p("birth_date"))).when(kind == "address", p("address")).when(kind == "name", p("name")).otherwise(col(value))
+        .when(kind == "birth_date", birth_like(value, p("birth_date"), parts)).when(kind == "address", p("address")).when(kind == "name", p("name")).otherwise(col(value))
     )
 
 

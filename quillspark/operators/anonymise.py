@@ -66,8 +66,8 @@ def anonymise_segments(segs: DataFrame, profiles: DataFrame) -> DataFrame:
     held = held.join(profiles, "conv_id", "left")
     contents = F.transform("segs", lambda s: s["content"])
     held = held.withColumn("compact", F.regexp_replace(F.array_join(contents, ""), f"[{fixed.SPACES}]", ""))
-    held = held.withColumn("spans", select_spans(find_spans("compact")))
-    to = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), privacy.replacement(s["kind"], s["value"]).alias("to")))
+    held = held.withColumn("spans", select_spans(find_spans("compact"))).withColumn("birth", privacy.birth_parts("profile.birth_date"))
+    to = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), privacy.replacement(s["kind"], s["value"], parts="birth").alias("to")))
     held = held.withColumn("new", _rewritten(contents, to))
     line = F.transform(F.arrays_zip("segs", "new"), lambda z: F.when(z["segs"]["speaker"].isNotNull(), F.concat(z["segs"]["speaker"], F.lit(": "), z["new"])).otherwise(z["new"]))
     return held.select("conv_id", F.array_join(line, "\n").alias("text"), F.size("spans").alias("n_found"))

@@ -49,3 +49,12 @@ def test_query_gives_rows(spark, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 5
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_segment_rewrite_gives_its_texts(spark):
+    """All columns are read: a count alone leaves the Python functions out of the plan."""
+    got = {r["conv_id"]: (r["text"], r["n_found"]) for r in catalogue.QUERIES["pii_segment_rewrite"](spark, SMALL).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1][1] == 3 and "我的手機是0912000111\nR: \nL: 好的\nR: 信箱是 fake1@gmail.com" in got[1][0]
+    assert got[2][1] == 2 and got[2][0].endswith("\nR: 生日民國74年1月2日")
+    assert got[3] == ("L: 12\nR: 0912\nR: 345\nL: 好\nR: 1234567", 0)
