@@ -8,17 +8,19 @@
    of the ``coords - matches + 1`` pairs that are rarest in either (prefix merging),
    so only those are posted, and pairs that no one shares are dropped.
 4. Lists are merged in rounds.  A list whose members already are one component is
-   skipped (skip merging); in the others the member that comes first in an order
-   drawn anew each round, which so leads most lists of its group, is paired with
-   the members of other components.  Pairs that agree on ``matches``
-   coordinates are confirmed on the full shingle sets.
+   skipped (skip merging); in the others one member, which so leads most lists of its
+   group, is paired with the members of other components: in the first round the one
+   whose own lists are longest, for near copies are edits of one text and nearer to it
+   than to each other; then the first in an order drawn anew each round.  Pairs that
+   agree on ``matches`` coordinates are confirmed on the full shingle sets.
    Texts whose lists still span components after ``rounds`` rounds are just below the
    threshold or share a passage.  Collisions cannot tell these apart, so they are
    settled by their full sets: they meet by the rarest shingles of their sets, and a
    pair is confirmed only if its sizes, the places of the shingle, a bitmap of each set
-   and the shingles shared by both prefixes leave room for the threshold.  No link is
-   lost, and neither a group of near copies nor one of texts just below the threshold
-   is expanded into pairs.
+   and the shingles shared by both prefixes leave room for the threshold.  Again lists
+   are led first by the member whose shingles are the most shared.  No link is lost, and
+   a group of near copies around one text is not expanded into pairs.  Texts just below
+   the threshold with each other that no leader links are compared pair by pair.
 5. Components of the confirmed links, after each round.
 
 ``matches`` follows from the threshold: a pair at it agrees on fewer coordinates with
@@ -178,20 +180,28 @@ def _tokens(batches):
 HEAD = 24
 
 
+def _leading(rep: str, weight: str, turn: int):
+    """The order whose last member leads a list: by weight at first, then drawn for each round."""
+    drawn = F.xxhash64(rep, F.lit(turn))
+    return drawn if turn else F.struct(F.col(weight), drawn)
+
+
 def prefix_postings(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(h, rep, n, place, top, rest, last, sketch): the prefixes of the members' full sets, without
+    """(h, rep, n, weight, place, top, rest, last, sketch): the prefixes of the members' full sets, without
     the shingles that only one member has.  top: the first ``HEAD`` of the prefix, ``last`` the
-    order of its last, ``rest`` the shingles of the set behind that."""
+    order of its last, ``rest`` the shingles of the set behind that.  weight: members that hold a
+    shingle of the set, on average."""
     own = sets.join(members, "rep", "left_semi")
     tokens = own.select("rep", "h1", "shingles").mapInArrow(_tokens, _TOKEN_SQL)
     shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     held = tokens.join(shared, "h").groupBy("rep", "h1", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs"))
     # unshared shingles are rarer than all shared ones and fill the first places
+    held = held.withColumn("weight", F.expr("aggregate(hs, 0L, (s, x) -> s + x.c) / n"))
     held = held.withColumn("first", F.col("n") - F.size("hs")).withColumn("room", F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - first as int)")).where("room > 0")
     held = held.join(own.select("rep", "h1", "bits"), ["rep", "h1"])
     held = held.withColumn("head", F.expr(f"slice(hs, 1, least(room, {HEAD}))")).withColumns({"top": F.expr("head.h"), "rest": F.expr("n - first - size(head)"), "last": F.expr("element_at(head, -1)")})
-    held = _sketched(held).select("rep", "n", "first", "top", "rest", "last", *_SKETCH, F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
-    return held.select(F.col("t.h").alias("h"), "rep", "n", (F.col("first") + F.col("i") + 1).alias("place"), "top", "rest", "last", *_SKETCH)
+    held = _sketched(held).select("rep", "n", "weight", "first", "top", "rest", "last", *_SKETCH, F.posexplode(F.expr("slice(hs, 1, room)")).alias("i", "t"))
+    return held.select(F.col("t.h").alias("h"), "rep", "n", "weight", (F.col("first") + F.col("i") + 1).alias("place"), "top", "rest", "last", *_SKETCH)
 
 
 def _heads(k: str) -> list:
@@ -203,12 +213,16 @@ def prefix_pairs(posted: DataFrame, percent: int, turn: int | None) -> DataFrame
     sets, the places of a shared shingle and all shingles that the heads of both prefixes share:
     what else they share lies behind the head that ends first.  A pair comes once, from the first
     shingle its heads share.  posted: postings with component.  With a turn, only pairs with a
-    member drawn for each list, from any of their lists."""
-    y = posted.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"), *_side("b"), *_heads("b"))
+    member that leads each list, from any of their lists."""
+    y = posted.select("h", F.col("rep").alias("b"), F.col("weight").alias("wb"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("place").alias("pb"), *_side("b"), *_heads("b"))
     if turn is not None:
-        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb", *(c + "b" for c in (*_SKETCH, "top", "rest", "last"))), F.xxhash64("b", F.lit(turn))).alias("y")).select("h", "y.*")
+        y = y.groupBy("h").agg(F.max_by(F.struct("b", "nb", "cb", "pb", *(c + "b" for c in (*_SKETCH, "top", "rest", "last"))), _leading("b", "wb", turn)).alias("y")).select("h", "y.*")
     x = posted.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("place").alias("pa"), *_side("a"), *_heads("a"))
-    differ = "ca <> cb" if turn is not None else "ca < cb"
+    differ = "ca <> cb"
+    if turn is None:
+        # a list's members of one component, its leader's, are not compared with each other
+        x = x.join(posted.groupBy("h").agg(F.max_by("component", "weight").alias("lead")), "h").where("ca <> lead")
+        differ = "ca <> cb and (cb = lead or ca < cb)"
     bound = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb) and {reachable(percent)}"
     both = "array_intersect(topa, topb)"
     bound += f" and (100 + {percent}) * (size({both}) + if(lasta <= lastb, resta, restb)) >= {percent} * (na + nb)"
@@ -232,8 +246,9 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     matches = least_matches(percent)
     prefix = COORDS - matches + 1
     ranked = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
-    ranked = ranked.where(F.size("keys") > COORDS - prefix).select("rep", F.explode(F.expr(f"slice(keys, 1, {prefix} - {COORDS} + size(keys))")).alias("k"))
-    lists = scratch.keep(ranked.select(F.col("k.key").alias("key"), "rep"))
+    ranked = ranked.withColumn("weight", F.expr("aggregate(keys, 0L, (s, x) -> s + x.c)"))
+    ranked = ranked.where(F.size("keys") > COORDS - prefix).select("rep", "weight", F.explode(F.expr(f"slice(keys, 1, {prefix} - {COORDS} + size(keys))")).alias("k"))
+    lists = scratch.keep(ranked.select(F.col("k.key").alias("key"), "rep", "weight"))
 
     wanted = scratch.keep(lists.select(F.col("rep").alias("doc_id")).distinct())
     sets = docs.join(maybe_broadcast(wanted, 64), "doc_id", "left_semi").mapInArrow(_full_sets(size), _SETS_SQL)
@@ -282,7 +297,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         groups = mixed(lists, "key")
         if groups.isEmpty():
             break
-        hub = groups.groupBy("key").agg(F.max_by(F.struct("rep", "component", "step"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
+        hub = groups.groupBy("key").agg(F.max_by(F.struct("rep", "component", "step"), _leading("rep", "weight", turn)).alias("hub"))
         linked(groups.join(hub, "key").where("component <> hub.component and abs(step - hub.step) <= 1").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")), matches)
     members = scratch.keep(mixed(lists, "key").select("rep").distinct())
     posted = scratch.keep(prefix_postings(sets, members, percent))
