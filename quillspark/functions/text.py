@@ -1,13 +1,11 @@
 """Text expressions: white space, ordered replacements, line rules inside one row.
 
 All of them are Catalyst expressions over one row, so they neither shuffle nor leave
-the JVM; only Unicode normalisation, decoding and script conversion need Python and
-go through Arrow, for the rows that have non-ASCII characters at all.
+the JVM; only the decoding of files needs Python and goes through Arrow.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -108,19 +106,12 @@ def n_removed(c, chars: str) -> Column:
 # --- Unicode ---------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
-
-
-#: kept out of merged projections, so that one cleaner's text can be another's input
-_nfkc = _nfkc.asNondeterministic()
-
-
 def nfkc(c) -> Column:
-    """NFKC; rows of ASCII alone are passed by."""
+    """NFKC by the ICU library that Spark ships; rows of ASCII alone are passed by.  The call counts as
+    nondeterministic, so that merged projections do not repeat it."""
     c = col(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
 
 
 def visible(c, chars: str = fixed.INVISIBLE) -> Column:
