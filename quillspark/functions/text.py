@@ -208,9 +208,13 @@ def trimmed_lines(c) -> Column:
     return F.array_join(F.filter(F.transform(lines(c), utrim), lambda x: ~is_punct_only(x)), "\n")
 
 
+def adjacent_once(ls: Column, keep=tuple(fixed.KEEP_WORDS)) -> Column:
+    """The lines without those that repeat the line before them; the keywords are looked for in repeats alone."""
+    return F.filter(ls, lambda x, i: (i == 0) | (x != F.coalesce(F.get(ls, i - 1), F.lit(""))) | (x == "") | contains_any(x, keep))
+
+
 def without_adjacent_repeats(c, keep=tuple(fixed.KEEP_WORDS)) -> Column:
-    differs = lambda ls: F.filter(ls, lambda x, i: (i == 0) | (x == "") | contains_any(x, keep) | (x != F.coalesce(F.get(ls, i - 1), F.lit(""))))
-    return F.array_join(let(lines(c), differs), "\n")
+    return F.array_join(let(lines(c), lambda ls: adjacent_once(ls, keep)), "\n")
 
 
 def collapsed_blanks(c, most: int = 1) -> Column:
