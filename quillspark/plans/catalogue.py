@@ -159,7 +159,8 @@ def _preds(spark, d):
 h AS (SELECT text, label_pred, row_number() OVER (PARTITION BY text ORDER BY doc_id) - 1 o FROM p WHERE label_pred <> 'Other')
 SELECT o AS occurrence, count(*) AS n_rows, round(avg(CASE WHEN label_true = label_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM g JOIN h USING (text, o) GROUP BY o""")
 def eval_align_occurrence(spark, d):
-    p = _preds(spark, d)
+    # a text is known by its SHA-256: the texts themselves are not shuffled
+    p = _preds(spark, d).withColumn("text", F.unhex(F.sha2("text", 256)))
     gold = p.select("text", F.col("doc_id").alias("row_id"), F.col("label_true").alias("label"))
     pred = p.where("label_pred <> 'Other'").select("text", F.col("doc_id").alias("row_id"), F.col("label_pred").alias("label"))
     return evaluate.aligned(gold, pred).groupBy("occurrence").agg(F.count("*").alias("n_rows"), F.round(F.avg((F.col("label_true") == F.col("label_pred")).cast("double")), 6).alias("accuracy"))
@@ -356,9 +357,9 @@ def line_hard_wrap_merge(spark, d):
 @query(f"""WITH {_LINES}, n AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) prev FROM l)
 SELECT doc_id, count(*) AS n_kept, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM n WHERE prev IS NULL OR line = '' OR line <> prev OR regexp_matches(line, {_q('|'.join(fixed.KEEP_WORDS))}) GROUP BY doc_id""")
 def line_adjacent_dedupe(spark, d):
-    t = table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", text.lines(text.without_adjacent_repeats("text")).alias("ls"), F.length(text.without_adjacent_repeats("text")).alias("n"))
-    t = t.select("doc_id", F.size(F.split(F.array_join("ls", "\n"), "\n", -1)).alias("k"), "n")
-    return t.select("doc_id", F.col("k").cast("long").alias("n_kept"), (F.col("n") - F.col("k") + 1).cast("long").alias("n_chars"))
+    counted = lambda ls: F.struct(F.size(ls).cast("long").alias("n_kept"), F.aggregate(ls, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("n_chars"))
+    kept = F.array(text.let(text.let(text.lines("text"), lambda ls: text.adjacent_once(ls)), counted))
+    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.inline(kept))
 
 
 @query(f"""WITH {_LINES}, b AS (SELECT *, trim(line, {_WSQ}) = '' AS blank FROM l), g AS (SELECT *, sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) isl FROM b),
