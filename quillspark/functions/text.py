@@ -92,7 +92,9 @@ def literal(s: str) -> str:
 
 def contains_any(c, words: Iterable[str]) -> Column:
     words = list(words)
-    return found(c, any_of(map(literal, words))) if words else F.lit(False)
+    hit = found(c, any_of(map(literal, words))) if words else F.lit(False)
+    # words that all need a character outside ASCII are not looked for where there is none
+    return col(c).rlike(r"[^\x00-\x7F]") & hit if words and not any(w.isascii() for w in words) else hit
 
 
 def without_chars(c, chars: str) -> Column:

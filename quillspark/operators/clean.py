@@ -72,7 +72,8 @@ def structured(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     t = L.explode_lines(df.select("doc_id", text.visible("text", fixed.ZERO_WIDTH).alias("text")))
     t = t.withColumn("line", text.rtrim("line"))
     page = text.is_page_line("line") if cfg.drop_pages else F.lit(False)
-    t = t.where(text.must_keep("line", F.col("line_no"), cfg.head_lines) | ~(page | text.is_noise_line("line")))
+    # the long list of patterns is tried on noise and page lines alone
+    t = t.where(~(page | text.is_noise_line("line")) | text.must_keep("line", F.col("line_no"), cfg.head_lines))
     out = L.implode_lines(L.merge_vertical_runs(t, cfg.vertical_run))
     c = text.each_line(text.joined_soft_wraps("text"), lambda x: text.replaced(x, fixed.COLLAPSE_RUNS))
     return out.select("doc_id", text.utrim(text.collapsed_blanks(c, cfg.max_blank)).alias("text"))
